@@ -6,7 +6,7 @@ import importlib
 
 from fieldgrain.plans.catalog import QUERIES, Query
 
-MODULES = ["coverage"]
+MODULES = ["coverage", "metrics", "splits"]
 
 
 def load_queries() -> dict[str, Query]:

@@ -225,11 +225,12 @@ def field_class(spark, sf_dir):
       round((patch_width_px + 9 * stride_px - 1) * dx, 6) AS domain_m, 100 AS available_patch_count,
       round(greatest(0.0::DOUBLE, CAST(patch_width_px - stride_px AS DOUBLE) / patch_width_px), 6)
         AS linear_overlap_fraction,
-      round(3.0::DOUBLE / f, 6) AS wavelength_guess_m, round(c / f, 6) AS wavelength_true_m,
+      round(3.0::DOUBLE / f, 10) AS wavelength_guess_m, round(c / f, 10) AS wavelength_true_m,
       round(2.0::DOUBLE * 3.0::DOUBLE / c, 6) AS M_effective FROM s""",
 )
 def patch_geometry_query(spark, sf_dir):
     rows = examples(spark, sf_dir).withColumn("c", F.col("truth_cs_center_m_s") / 100.0)
     shape = patch_geometry(F.lit(2.0), F.lit(3.0), "campaign_frequency_hz", "GRID_dx_m")
     waves = effective_window(F.lit(2.0), F.lit(3.0), "c", "campaign_frequency_hz")
-    return rounded(rows.select("example_id", *[c.alias(n) for n, c in {**shape, **waves}.items()]))
+    out = rows.select("example_id", *[c.alias(n) for n, c in {**shape, **waves}.items()])
+    return rounded(out, wavelength_guess_m=10, wavelength_true_m=10)

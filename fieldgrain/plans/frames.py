@@ -77,9 +77,9 @@ PREDICTIONS_SQL = """predictions_raw AS (
          l_linenumber AS campaign_direction_count,
          l_discount AS truth_material_purity,
          0.1::DOUBLE + 8.0::DOUBLE * l_discount AS q_true,
-         0.1::DOUBLE + 8.0::DOUBLE * l_discount + (l_tax - 0.04::DOUBLE) AS q_pred,
+         0.1::DOUBLE + 8.0::DOUBLE * l_discount + 0.7320508075688772::DOUBLE * (l_tax - 0.04::DOUBLE) AS q_pred,
          p_retailprice AS cs_true_m_s,
-         l_extendedprice / l_quantity AS cs_pred_m_s,
+         l_extendedprice / (2.718281828459045::DOUBLE * l_quantity) AS cs_pred_m_s,
          l_discount > 0.0::DOUBLE AS sws_valid
   FROM lineitem JOIN part ON l_partkey = p_partkey),
 predictions AS (
@@ -104,9 +104,11 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_linenumber").alias("campaign_direction_count"),
         F.col("l_discount").alias("truth_material_purity"),
         (F.lit(0.1) + F.lit(8.0) * F.col("l_discount")).alias("q_true"),
-        (F.lit(0.1) + F.lit(8.0) * F.col("l_discount") + (F.col("l_tax") - F.lit(0.04))).alias("q_pred"),
+        (F.lit(0.1) + F.lit(8.0) * F.col("l_discount") + F.lit(0.7320508075688772) * (F.col("l_tax") - F.lit(0.04))).alias(
+            "q_pred"
+        ),
         F.col("p_retailprice").alias("cs_true_m_s"),
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("cs_pred_m_s"),
+        (F.col("l_extendedprice") / (F.lit(2.718281828459045) * F.col("l_quantity"))).alias("cs_pred_m_s"),
         (F.col("l_discount") > 0.0).alias("sws_valid"),
     )
     error = F.col("cs_pred_m_s") - F.col("cs_true_m_s")
