@@ -6,7 +6,7 @@ import importlib
 
 from fieldgrain.plans.catalog import QUERIES, Query
 
-MODULES = ["coverage", "metrics", "splits"]
+MODULES = ["coverage", "metrics", "splits", "spectra"]
 
 
 def load_queries() -> dict[str, Query]:
