@@ -372,15 +372,24 @@ def radial_features(
     # One histogram slot per bin up to the top, the last bin closed, plus one overflow slot.
     slot = F.transform(
         k,
-        lambda x: F.when(x > F.col("k_plot_hi"), bins).otherwise(
-            F.least(F.floor(x / F.col("k_plot_hi") * bins), F.lit(bins - 1))
+        lambda x: F.when(x > F.col("k_plot_hi"), F.lit(bins).cast("bigint")).otherwise(
+            F.least(F.floor(x / F.col("k_plot_hi") * bins), F.lit(bins - 1).cast("bigint"))
         ),
     )
     base = base.withColumn("_slot", slot)
-    hist = F.transform(
-        F.sequence(F.lit(0), F.lit(bins)),
-        lambda b: A.total(F.zip_with("_w", "_slot", lambda x, s: F.when(s == b, x).otherwise(0.0))),
-    )
+    # Slots ascend with k, so one pass closes each slot when the next begins; empty slots add no entropy.
+    empty = F.array().cast("array<double>")
+    start = F.struct(F.lit(-1).cast("bigint").alias("slot"), F.lit(0.0).alias("sum"), empty.alias("done"))
+
+    def gather(acc: Column, cell: Column) -> Column:
+        same = cell["_slot"] == acc["slot"]
+        return F.struct(
+            cell["_slot"].alias("slot"),
+            F.when(same, acc["sum"] + cell["_w"]).otherwise(cell["_w"]).alias("sum"),
+            F.when(same, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["sum"]))).alias("done"),
+        )
+
+    hist = F.aggregate(F.arrays_zip("_w", "_slot"), start, gather, lambda acc: F.concat(acc["done"], F.array(acc["sum"])))
     base = base.withColumn("_h", hist)
     base = base.withColumn("_h", A.scaled("_h", A.total("_h") + EPS))
     return base.select(
