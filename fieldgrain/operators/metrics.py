@@ -12,7 +12,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldgrain.functions.semantics import EPS, finite, null_safe_join, percent, ratio, require_columns, share
-from fieldgrain.operators.order_stats import average_ranks, hash_positions, percentiles, row_positions, running_totals
+from fieldgrain.operators.order_stats import (
+    average_ranks,
+    hash_positions,
+    is_large,
+    percentiles,
+    row_positions,
+    running_totals,
+)
 
 ABS_ERROR = "cs_absolute_error_percent"
 
@@ -140,8 +147,9 @@ def grouped_tables(rows: DataFrame, groupings: Mapping[str, Sequence[str]], extr
         F.avg("q_error").alias("q_bias"),
         *[c.alias(n) for n, c in speed_columns().items()],
     )
-    ranks = percentiles(long, keys, ABS_ERROR, {"sws_median_ape": 0.5, "sws_p90_ape": 0.9})
-    return _join([base, percentiles(long, keys, "_aq", {"q_median_ae": 0.5}), ranks], keys)
+    large = is_large(long, keys)
+    ranks = percentiles(long, keys, ABS_ERROR, {"sws_median_ape": 0.5, "sws_p90_ape": 0.9}, large=large)
+    return _join([base, percentiles(long, keys, "_aq", {"q_median_ae": 0.5}, large=large), ranks], keys)
 
 
 def external_metrics(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -267,22 +275,31 @@ def gain_vs_baseline(summary: DataFrame, keys: Sequence[str], variant: str, base
     )
 
 
-def spearman(rows: DataFrame, keys: Sequence[str], x: str, y: str, out: str = "spearman") -> DataFrame:
+def spearman(
+    rows: DataFrame, keys: Sequence[str], x: str, y: str, out: str = "spearman", *, large: bool | None = None
+) -> DataFrame:
     """Rank correlation from counted (x, y) pairs; tied values share their mean rank."""
-    keys = list(keys)
-    both = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    cells = both.groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("_w"))
-    cells = null_safe_join(cells, average_ranks(both, keys, x, "_rx"), [*keys, x])
-    cells = null_safe_join(cells, average_ranks(both, keys, y, "_ry"), [*keys, y])
-    size = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    cells = null_safe_join(cells, size, keys) if keys else cells.crossJoin(F.broadcast(size))
+    base = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    if not keys:
+        base = base.withColumn("_all", F.lit(0))
+    by = list(keys) or ["_all"]
+    if large is None:
+        large = is_large(base, by)
+    counted = base.groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("_w"))
+    weight = F.sum("_w")
+    cells = null_safe_join(counted, average_ranks(counted, by, x, "_rx", weight=weight, large=large), [*by, x])
+    cells = null_safe_join(cells, average_ranks(counted, by, y, "_ry", weight=weight, large=large), [*by, y])
+    cells = null_safe_join(cells, counted.groupBy(*by).agg(weight.alias("_n")), by)
     dx, dy, w = F.col("_rx") - (F.col("_n") + 1) / 2.0, F.col("_ry") - (F.col("_n") + 1) / 2.0, F.col("_w")
-    return cells.groupBy(*keys).agg(
+    out_rows = cells.groupBy(*by).agg(
         ratio(F.sum(w * dx * dy), F.sqrt(F.sum(w * dx * dx)) * F.sqrt(F.sum(w * dy * dy))).alias(out)
     )
+    return out_rows.select(*keys, out)
 
 
-def kendall(rows: DataFrame, keys: Sequence[str], x: str, y: str, out: str = "kendall") -> DataFrame:
+def kendall(
+    rows: DataFrame, keys: Sequence[str], x: str, y: str, out: str = "kendall", *, large: bool | None = None
+) -> DataFrame:
     """Tau-b without comparing pairs of rows.
 
     Equal (x, y) are counted first. Dense ranks of x are then read bit by bit:
@@ -294,10 +311,10 @@ def kendall(rows: DataFrame, keys: Sequence[str], x: str, y: str, out: str = "ke
     both = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     base = both if keys else both.withColumn("_all", F.lit(0))
     by = keys or ["_all"]
+    if large is None:
+        large = is_large(base, by)
     cells = base.groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("_w"))
-    dense = running_totals(
-        base.select(*by, x).distinct(), by, x, {"d": F.count(F.lit(1))}
-    ).select(*by, x, (F.col("d_upto") - 1).alias("_rank"), F.col("d_total").alias("_levels"))
+    dense = running_totals(cells.select(*by, x).distinct(), by, x, large=large).select(*by, x, (F.col("n_upto") - 1).alias("_rank"), F.col("n_total").alias("_levels"))
     placed = null_safe_join(cells, dense, [*by, x])
     bits = F.ceil(F.log2(F.greatest(F.col("_levels"), F.lit(2)).cast("double"))).cast("int")
     long = (
@@ -311,7 +328,7 @@ def kendall(rows: DataFrame, keys: Sequence[str], x: str, y: str, out: str = "ke
         )
         .where(F.col(y).isNotNull())
     )
-    ordered = running_totals(long, [*by, "_bit", "_block"], y, {"hi": F.sum("_hi"), "lo": F.sum("_lo")})
+    ordered = running_totals(long, [*by, "_bit", "_block"], y, {"hi": F.sum("_hi"), "lo": F.sum("_lo")}, large=large)
     signed = ordered.groupBy(*by).agg(
         F.sum(F.col("hi") * (F.col("lo_upto") - F.col("lo"))).cast("double").alias("_c"),
         F.sum(F.col("lo") * (F.col("hi_upto") - F.col("hi"))).cast("double").alias("_d"),
@@ -320,9 +337,9 @@ def kendall(rows: DataFrame, keys: Sequence[str], x: str, y: str, out: str = "ke
     def pairs(c: Column) -> Column:
         return (c.cast("double") * (c - 1).cast("double")) / 2.0
 
-    tx = base.groupBy(*by, x).agg(F.count(F.lit(1)).alias("_m")).groupBy(*by).agg(F.sum(pairs(F.col("_m"))).alias("_tx"))
-    ty = base.groupBy(*by, y).agg(F.count(F.lit(1)).alias("_m")).groupBy(*by).agg(F.sum(pairs(F.col("_m"))).alias("_ty"))
-    n = base.groupBy(*by).agg(pairs(F.count(F.lit(1))).alias("_n0"))
+    tx = cells.groupBy(*by, x).agg(F.sum("_w").alias("_m")).groupBy(*by).agg(F.sum(pairs(F.col("_m"))).alias("_tx"))
+    ty = cells.groupBy(*by, y).agg(F.sum("_w").alias("_m")).groupBy(*by).agg(F.sum(pairs(F.col("_m"))).alias("_ty"))
+    n = cells.groupBy(*by).agg(pairs(F.sum("_w")).alias("_n0"))
     tau = ratio(
         F.col("_c") - F.col("_d"),
         F.sqrt(F.col("_n0") - F.col("_tx")) * F.sqrt(F.col("_n0") - F.col("_ty")),

@@ -23,12 +23,18 @@ ROWS_PER_BUCKET = 2_000_000
 MAX_CUTS = 2_000
 
 
-def _cuts(df: DataFrame, keys: Sequence[str], value: str, rows_per_bucket: int) -> DataFrame | None:
-    """Cut points of the groups above the size limit, or None when there are none."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    largest = sizes.agg(F.max("_size")).first()[0]
-    if largest is None or largest <= rows_per_bucket:
-        return None
+def is_large(df: DataFrame, keys: Sequence[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> bool:
+    """Whether any group exceeds the size one task should sort: one counting pass with map-side combine.
+
+    Callers that rank the same rows several times ask once and pass the answer on.
+    """
+    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).agg(F.max("_size")).first()[0]
+    return (largest or 0) > rows_per_bucket
+
+
+def _cuts(df: DataFrame, keys: Sequence[str], value: str, rows_per_bucket: int) -> DataFrame:
+    """Cut points of every group above the size limit, in the number the largest group needs."""
+    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).agg(F.max("_size")).first()[0] or 0
     pieces = int(min(MAX_CUTS, max(2, -(-largest // rows_per_bucket))))
     probabilities = [i / pieces for i in range(1, pieces)]
     sketch = df.groupBy(*keys).agg(
@@ -48,12 +54,14 @@ def running_totals(
     *,
     descending: bool = False,
     rows_per_bucket: int = ROWS_PER_BUCKET,
+    large: bool | None = None,
 ) -> DataFrame:
     """One row per distinct value of a group, with running and total sums in value order.
 
     ``sums`` maps an output name to an aggregate; each gives ``name``,
     ``name_upto`` (this value included) and ``name_total``. Without ``sums``
-    the row count ``n`` is used. NULL values are left out.
+    the row count ``n`` is used. NULL values are left out. ``large`` is the
+    answer of :func:`is_large` if the caller already has it.
     """
     sums = dict(sums or {"n": F.count(F.lit(1))})
     keys = list(keys)
@@ -62,9 +70,10 @@ def running_totals(
         rows = rows.withColumn("_all", F.lit(0))
     by = keys or ["_all"]
     atoms = rows.groupBy(*by, value).agg(*[agg.alias(name) for name, agg in sums.items()])
-    cuts = _cuts(rows, by, value, rows_per_bucket)
+    if large is None:
+        large = is_large(rows, by, rows_per_bucket)
     order = F.col(value).desc() if descending else F.col(value).asc()
-    if cuts is None:
+    if not large:
         whole = Window.partitionBy(*by)
         upto = whole.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         out = atoms.select(
@@ -73,6 +82,7 @@ def running_totals(
             *[F.sum(s).over(whole).alias(f"{s}_total") for s in sums],
         )
     else:
+        cuts = _cuts(rows, by, value, rows_per_bucket)
         # The cut table has one short row per oversized group; Spark's own size check decides on broadcast.
         placed = null_safe_join(atoms, cuts, by, "left").select(
             *by,
@@ -119,9 +129,10 @@ def percentiles(
     probabilities: Mapping[str, float],
     *,
     rows_per_bucket: int = ROWS_PER_BUCKET,
+    large: bool | None = None,
 ) -> DataFrame:
     """Exact percentiles with midpoint plotting positions: rank p*n + 0.5, linear between, clamped at the ends."""
-    atoms = running_totals(df, keys, value, rows_per_bucket=rows_per_bucket)
+    atoms = running_totals(df, keys, value, rows_per_bucket=rows_per_bucket, large=large)
     aggs, outs = [], []
     for name, p in probabilities.items():
         rank = F.greatest(F.lit(1.0), F.least(F.col("n_total").cast("double"), F.col("n_total") * float(p) + 0.5))
@@ -138,10 +149,21 @@ def percentiles(
 
 
 def average_ranks(
-    df: DataFrame, keys: Sequence[str], value: str, out: str, *, rows_per_bucket: int = ROWS_PER_BUCKET
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    out: str,
+    *,
+    weight: Column | None = None,
+    rows_per_bucket: int = ROWS_PER_BUCKET,
+    large: bool | None = None,
 ) -> DataFrame:
-    """Rank of every distinct value, ties sharing their mean rank: columns keys, value, ``out``."""
-    atoms = running_totals(df, keys, value, rows_per_bucket=rows_per_bucket)
+    """Rank of every distinct value, ties sharing their mean rank: columns keys, value, ``out``.
+
+    ``weight`` is the aggregate that counts rows, when ``df`` is already counted.
+    """
+    sums = {"n": weight if weight is not None else F.count(F.lit(1))}
+    atoms = running_totals(df, keys, value, sums, rows_per_bucket=rows_per_bucket, large=large)
     return atoms.select(*keys, value, (F.col("n_upto") - (F.col("n") - 1) / 2.0).alias(out))
 
 
@@ -184,13 +206,14 @@ def row_positions(
     descending: bool = False,
     seed: int | str = 0,
     rows_per_bucket: int = ROWS_PER_BUCKET,
+    large: bool | None = None,
 ) -> DataFrame:
     """Position of every row by value, equal values ordered by seeded md5 of ``tie``.
 
     Adds ``position`` and ``group_size``; rows with a NULL value are left out.
     """
     keys = list(keys)
-    atoms = running_totals(df, keys, value, descending=descending, rows_per_bucket=rows_per_bucket).select(
+    atoms = running_totals(df, keys, value, descending=descending, rows_per_bucket=rows_per_bucket, large=large).select(
         *keys, value, (F.col("n_upto") - F.col("n")).alias("_start"), F.col("n_total").alias("_total")
     )
     ranked = hash_positions(df.where(F.col(value).isNotNull()), [*keys, value], tie, seed).withColumnRenamed(
