@@ -417,7 +417,8 @@ def weighted_median(rows: DataFrame, keys: Sequence[str], value: str, weight: st
     """First value whose cumulative weight reaches half the total; rows without positive weight are left out."""
     ok = rows.where(F.col(value).isNotNull() & (F.col(weight) > 0))
     cum = running_totals(ok, keys, value, {"w": F.sum(weight)})
-    return cum.where(F.col("w_upto") >= 0.5 * F.col("w_total")).groupBy(*keys).agg(F.min(value).alias(out))
+    # The tiny slack makes an exact half independent of summation order.
+    return cum.where(F.col("w_upto") >= (0.5 - 1e-12) * F.col("w_total")).groupBy(*keys).agg(F.min(value).alias(out))
 
 
 def hotspot_statistics(rows: DataFrame, group: str, columns: Sequence[str], hot: str, control: str) -> DataFrame:
