@@ -134,8 +134,8 @@ def spectrum_function(
                 radial = np.bincount(grid["bins"], p, grid["nbins"] + 1)[:-1] / grid["count"][:-1]
                 shells = np.bincount(grid["shell"], p)
                 rows[i] = (
-                    bool(good), grid["nbins"], grid["k_cent"], radial if good else None, grid["shell_k"],
-                    shells if good else None, p if keep_power and good else None,
+                    bool(good), grid["nbins"], grid["k_cent"], radial if good else None,
+                    grid["shell_k"] if good else None, shells if good else None, p if keep_power and good else None,
                 )
         names = ["valid", "nbins", "k_cent", "srad", "k_shell", "w_shell", "power"]
         return pd.DataFrame(rows, columns=names)
@@ -269,9 +269,12 @@ RADIAL_FEATURES = [
 
 
 def patch_features(patches: DataFrame, window: int, frequency: str = "frequency_hz", **options) -> DataFrame:
-    """All features of every window: cumulative mapping, radial, angular and curve-shape columns."""
+    """All features of every window: cumulative mapping, radial, angular and curve-shape columns.
+
+    An unusable window stays a row with NULL features.
+    """
     spectra = patch_spectra(patches, window, frequency, keep_power=True, **options)
-    radial = radial_features(spectra.where("valid"), "k_shell", "w_shell")
+    radial = radial_features(spectra, "k_shell", "w_shell")
     curves = shape_features(with_ecum(radial))
     angular = angular_features(angular_histogram(angular_energy(radial, window, options.get("pad", 1.0))))
     return curves.drop("power", "k_shell", "w_shell").join(angular, PATCH, "left")

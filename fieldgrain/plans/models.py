@@ -39,7 +39,7 @@ def fixed_quantile_baseline(spark, sf_dir):
     f"""WITH {P}, t AS (SELECT partition, q_true, CASE WHEN campaign_size = 13 THEN 1.5::DOUBLE ELSE campaign_size / 50.0::DOUBLE END AS th FROM predictions),
     q AS (SELECT *, th BETWEEN 0 AND 1 AS ok, CASE WHEN th BETWEEN 0 AND 1 THEN greatest(0.001::DOUBLE, least(0.999::DOUBLE, th)) END AS p FROM t)
     SELECT partition, CAST(count(*) FILTER (NOT ok) AS BIGINT) AS invalid_count, round(avg(abs(p - q_true)), 6) AS q_mae,
-      round(avg(q_true - p), 6) AS residual_mean, round(avg(greatest(0.001::DOUBLE, least(0.999::DOUBLE, p + 0.1::DOUBLE))), 6) AS corrected_mean FROM q GROUP BY 1""",
+      round(avg(q_true - p), 6) AS residual_mean, round(avg(CASE WHEN ok THEN greatest(0.001::DOUBLE, least(0.999::DOUBLE, p + 0.1::DOUBLE)) END), 6) AS corrected_mean FROM q GROUP BY 1""",
 )
 def theory_baseline(spark, sf_dir):
     rows = predictions(spark, sf_dir).drop("q_pred").withColumn(
@@ -127,8 +127,8 @@ def oracle_choice(spark, sf_dir):
     return md.best_candidate(rows, {"M2": "a", "M3": "b", "residual": "d"}, "cs_true_m_s").select("example_id", "oracle_source")
 
 
-_WINDOWS = f"""{P}, w AS (SELECT campaign_run_id AS place, campaign_direction_count AS wm, avg(cs_pred_m_s) AS s, avg(truth_material_purity) AS pm,
-    avg(campaign_frequency_hz) AS pu, avg(campaign_size) / 10 AS ef FROM predictions GROUP BY 1, 2),
+_WINDOWS = f"""{P}, w AS (SELECT campaign_run_id AS place, campaign_direction_count AS wm, avg(cs_pred_m_s) AS s, max(truth_material_purity) AS pm,
+    max(campaign_frequency_hz) AS pu, max(campaign_size) / 10 AS ef FROM predictions GROUP BY 1, 2),
   n AS (SELECT place, avg(s) AS mean, median(s) AS med, count(*) AS c FROM w GROUP BY 1 HAVING count(*) >= 2)"""
 
 
@@ -137,8 +137,8 @@ def _windows(spark, sf_dir):
         predictions(spark, sf_dir)
         .groupBy(F.col("campaign_run_id").alias("place"), F.col("campaign_direction_count").alias("wm"))
         .agg(
-            F.avg("cs_pred_m_s").alias("s"), F.avg("truth_material_purity").alias("pm"), F.avg("campaign_frequency_hz").alias("pu"),
-            (F.avg("campaign_size") / 10).alias("ef"),
+            F.avg("cs_pred_m_s").alias("s"), F.max("truth_material_purity").alias("pm"), F.max("campaign_frequency_hz").alias("pu"),
+            (F.max("campaign_size") / 10).alias("ef"),
         )
     )
 
