@@ -119,8 +119,9 @@ def purity_metrics(rows: DataFrame, keys: Sequence[str], truth: str, pred: str)
 def grouping_rows(rows: DataFrame, groupings: Mapping[str, Sequence[str]], width: int) -> DataFrame:
     """One copy of a row per grouping, keyed by table name and text levels (the GROUPING SETS expansion)."""
     entries = []
+    types = dict(rows.dtypes)
     for name, columns in groupings.items():
-        levels = [F.col(c).cast("string") for c in columns] + [F.lit(None).cast("string")] * (width - len(columns))
+        levels = [F.col(c) if types[c] == "string" else F.col(c).cast("string") for c in columns] + [F.lit(None).cast("string")] * (width - len(columns))
         entries.append(
             F.struct(F.lit(name).alias("table_name"), *[v.alias(f"level_{i + 1}") for i, v in enumerate(levels)])
         )
@@ -132,8 +133,9 @@ def grouped_tables(rows: DataFrame, groupings: Mapping[str, Sequence[str]], extr
     width = max(len(c) for c in groupings.values())
     keys = ["table_name", *extra, *[f"level_{i + 1}" for i in range(width)]]
     used = sorted({c for columns in groupings.values() for c in columns} | set(extra))
+    # Group columns become text once per row, not once per grouping.
     valid = rows.where("sws_valid").select(
-        *used,
+        *[F.col(c).cast("string").alias(c) for c in used],
         (F.col("q_pred") - F.col("q_true")).alias("q_error"),
         "cs_error_m_s",
         "cs_error_percent",

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from fieldgrain.functions.semantics import hash_text, null_safe_join
 from fieldgrain.session import cut_lineage
 
-ROWS_PER_BUCKET = 2_000_000
+ROWS_PER_BUCKET = 1_000_000
 MAX_CUTS = 2_000
 
 
@@ -131,7 +131,15 @@ def percentiles(
     rows_per_bucket: int = ROWS_PER_BUCKET,
     large: bool | None = None,
 ) -> DataFrame:
-    """Exact percentiles with midpoint plotting positions: rank p*n + 0.5, linear between, clamped at the ends."""
+    """Exact percentiles with midpoint plotting positions: rank p*n + 0.5, linear between, clamped at the ends.
+
+    While every group is below the size limit, one sort by (group, value) gives
+    the ranks; beyond it, they are computed in value ranges.
+    """
+    if large is None:
+        large = is_large(df.where(F.col(value).isNotNull()), keys, rows_per_bucket)
+    if not large:
+        return _small_percentiles(df, keys, value, probabilities)
     atoms = running_totals(df, keys, value, rows_per_bucket=rows_per_bucket, large=large)
     aggs, outs = [], []
     for name, p in probabilities.items():
@@ -148,6 +156,28 @@ def percentiles(
     return atoms.groupBy(*keys).agg(*aggs).select(*keys, *outs)
 
 
+def _small_percentiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: Mapping[str, float]) -> DataFrame:
+    """Percentiles of groups known to be below the size limit: one shuffle and one sort by (group, value)."""
+    by = list(keys)
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    if not by:
+        rows, by = rows.withColumn("_all", F.lit(0)), ["_all"]
+    whole = Window.partitionBy(*by)
+    ranked = rows.select("*", F.row_number().over(whole.orderBy("_v")).alias("_r"), F.count(F.lit(1)).over(whole).alias("_n"))
+    aggs, outs = [], []
+    for name, p in probabilities.items():
+        rank = F.greatest(F.lit(1.0), F.least(F.col("_n").cast("double"), F.col("_n") * float(p) + 0.5))
+        low = F.floor(rank)
+        aggs += [
+            F.max(F.when(F.col("_r") == low, F.col("_v"))).alias(f"_l_{name}"),
+            F.max(F.when(F.col("_r") == F.ceil(rank), F.col("_v"))).alias(f"_h_{name}"),
+            F.max(rank - low).alias(f"_w_{name}"),
+        ]
+        a, b = F.col(f"_l_{name}"), F.col(f"_h_{name}")
+        outs.append((a + F.col(f"_w_{name}") * (b - a)).alias(name))
+    return ranked.groupBy(*by).agg(*aggs).select(*keys, *outs)
+
+
 def average_ranks(
     df: DataFrame,
     keys: Sequence[str],

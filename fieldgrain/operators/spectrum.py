@@ -183,6 +183,29 @@ def angular_energy(spectra: DataFrame, window: int, pad: float = 1.0, *, band_iq
     return cells.groupBy(*PATCH, slot.alias("angle_bin")).agg(F.coalesce(F.sum(inside), F.lit(0.0)).alias("energy"))
 
 
+def ring_histogram(spectra: DataFrame, window: int, pad: float = 1.0, *, band_iqr: float = 1.0, out: str = "pang") -> DataFrame:
+    """Same ring energy as :func:`angular_energy`, as a 72-element array on the row, without a shuffle."""
+    side = window + 2 * round(pad * window)
+    i = np.arange(side) - side // 2
+
+    @F.pandas_udf("array<double>")
+    def ring(power: pd.Series, low: pd.Series, high: pd.Series, dx: pd.Series, dz: pd.Series) -> pd.Series:
+        def histogram(p, lo, hi, sx, sz):
+            if p is None or lo is None or lo != lo:
+                return None
+            kr = frequency_grid(side, sx, sz)["kr"].ravel()
+            angle = np.arctan2(i[:, None] / sz, i[None, :] / sx).ravel() % (2 * math.pi)
+            slot = np.floor(angle * (ANGLE_BINS / (2 * math.pi)) + 1e-9).astype(int) % ANGLE_BINS
+            inside = (kr >= lo) & (kr <= hi)
+            return np.bincount(slot[inside], np.asarray(p)[inside], ANGLE_BINS)
+
+        return pd.Series([histogram(*row) for row in zip(power, low, high, dx, dz)])
+
+    half = F.greatest(F.col("iqr_k") * band_iqr, F.lit(EPS))
+    low = F.greatest(F.lit(0.0), F.col("k_q50") - half)
+    return spectra.withColumn(out, ring.asNondeterministic()("power", low, F.col("k_q50") + half, "dx_m", "dz_m"))
+
+
 def angular_histogram(energy: DataFrame) -> DataFrame:
     """Dense array of ring energy by angle bin (missing bins are zero)."""
     pairs = energy.groupBy(*PATCH).agg(F.map_from_entries(F.collect_list(F.struct("angle_bin", "energy"))).alias("_m"))
@@ -198,14 +221,12 @@ def separated_peaks(values: str, suppression: int, count: int):
 
     def take(state, _):
         def mark(top):
-            def gap(i, at):
-                d = F.abs(i - at)
-                return F.least(d, F.size(state["left"]) - d)
-
             def silence(at):
+                size = F.size(state["left"])
                 return F.struct(
                     F.transform(
-                        state["left"], lambda x, i: F.when(gap(i, at) <= suppression, low).otherwise(x)
+                        state["left"],
+                        lambda x, i: F.when(F.pmod(i - at + suppression, size) <= 2 * suppression, low).otherwise(x),
                     ).alias("left"),
                     F.concat(state["values"], F.array(top)).alias("values"),
                     F.concat(state["bins"], F.array(at)).alias("bins"),
@@ -226,18 +247,19 @@ def angular_features(histogram: DataFrame, *, smooth_bins: int = 3, window_deg:
     window = max(1, round(window_deg / step))
     suppression = max(window, round(suppression_deg / step))
     left = (smooth_bins - 1) // 2
-    base = histogram.where(A.total("pang") > 0).withColumn("_p", A.scaled("pang", A.total("pang") + EPS))
+    filled = F.when(A.total("pang") > 0, F.col("pang"))
+    base = histogram.withColumn("_p", A.scaled(filled, A.total("pang") + EPS))
     base = base.withColumn("_p", A.moving_mean("_p", left, left))
     base = base.withColumn("_p", A.scaled("_p", A.total("_p") + EPS))
     base = base.withColumn("_win", A.circular_sum("_p", window))
-    angle = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: (i + 0.5) * (2 * math.pi / n))
-    base = base.withColumn("_t", angle)
 
     def moment(order: int):
-        c = A.dot("_p", F.transform("_t", lambda t: F.cos(t * order)))
-        s = A.dot("_p", F.transform("_t", lambda t: F.sin(t * order)))
-        return F.hypot(c, s)
+        # The bin angles are the same on every row, so their cosines and sines are literal arrays.
+        angles = [order * (i + 0.5) * (2 * math.pi / n) for i in range(n)]
+        cosines, sines = (F.array(*[F.lit(f(a)) for a in angles]) for f in (math.cos, math.sin))
+        return F.hypot(A.dot("_p", cosines), A.dot("_p", sines))
 
+    base = base.withColumns({f"_m{order}": moment(order) for order in (1, 2, 4)})
     # The shape features see the histogram normalised once more, which only shifts the last digit.
     base = base.withColumn("_k", separated_peaks("_win", suppression, peaks))
     base = base.withColumn("_v", F.col("_k.values")).withColumn("_b", F.col("_k.bins"))
@@ -245,13 +267,13 @@ def angular_features(histogram: DataFrame, *, smooth_bins: int = 3, window_deg:
     gap = F.abs(F.get("_b", F.lit(0)) - F.get("_b", F.lit(1))) * step
     features = {
         "ang_entropy": A.entropy("_p", F.lit(n)),
-        "circ_var": F.lit(1.0) - moment(1),
+        "circ_var": F.lit(1.0) - F.col("_m1"),
         "dom_dir_frac": F.array_max("_p"),
         "window_max_frac": F.array_max("_win"),
         "window_cf": F.array_max("_win") / (min(1.0, window_deg / 360.0) + EPS),
-        "ang_moment_1": moment(1),
-        "ang_moment_2": moment(2),
-        "ang_moment_4": moment(4),
+        "ang_moment_1": F.col("_m1"),
+        "ang_moment_2": F.col("_m2"),
+        "ang_moment_4": F.col("_m4"),
         "ang_peak_count_rel": F.size(F.filter("_v", lambda v: v >= F.get("_v", F.lit(0)) * peak_ratio)).cast("double"),
         "ang_top1_window_frac": top(0),
         "ang_top2_window_frac": top(0) + top(1),
@@ -259,7 +281,7 @@ def angular_features(histogram: DataFrame, *, smooth_bins: int = 3, window_deg:
         "ang_top2_to_top1": top(1) / (top(0) + EPS),
         "ang_peak_separation_deg": F.coalesce(F.least(gap, F.lit(360.0) - gap), F.lit(0.0)),
     }
-    return base.select(*PATCH, *[c.alias(f) for f, c in features.items()])
+    return base.select(*histogram.columns, *[F.when(F.col("_p").isNotNull(), c).alias(f) for f, c in features.items()])
 
 
 RADIAL_FEATURES = [
@@ -275,6 +297,5 @@ def patch_features(patches: DataFrame, window: int, frequency: str = "frequency_
     """
     spectra = patch_spectra(patches, window, frequency, keep_power=True, **options)
     radial = radial_features(spectra, "k_shell", "w_shell")
-    curves = shape_features(with_ecum(radial))
-    angular = angular_features(angular_histogram(angular_energy(radial, window, options.get("pad", 1.0))))
-    return curves.drop("power", "k_shell", "w_shell").join(angular, PATCH, "left")
+    ring = ring_histogram(radial, window, options.get("pad", 1.0)).drop("power", "k_shell", "w_shell")
+    return shape_features(with_ecum(angular_features(ring).drop("pang")))

@@ -92,8 +92,9 @@ def theory_table(configs: DataFrame, fields: tuple[str, ...] = FIELDS, mode: str
 
     value = value.asNondeterministic()
     wanted = configs.select(*CONFIG).distinct().withColumn("field_type", F.explode(F.array(*[F.lit(x) for x in fields])))
-    # The hash exchange spreads the few expensive rows over all tasks.
-    spread = wanted.repartition(*CONFIG, "field_type")
+    # Few but expensive rows: a fixed partition count keeps them from being coalesced into one task.
+    tasks = int(configs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = wanted.repartition(tasks, *CONFIG, "field_type")
     out = spread.withColumn("q_theory", value("field_type", *CONFIG))
     ok = (F.col("q_theory") >= 0) & (F.col("q_theory") <= 1) & ~F.isnan("q_theory")
     return out.withColumn("q_theory_valid", ok)

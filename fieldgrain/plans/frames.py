@@ -265,8 +265,10 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Each short row grows into a whole grid, so the rows are spread over all tasks first.
     grid = (
         samples(spark, sf_dir)
+        .repartition(spark.sparkContext.defaultParallelism, "sample_id")
         .withColumn("iz", F.explode(F.sequence(F.lit(0), F.lit(GRID - 1))))
         .withColumn("ix", F.explode(F.sequence(F.lit(0), F.lit(GRID - 1))))
     )

@@ -276,8 +276,7 @@ def angular_energy(spark, sf_dir):
     FROM p JOIN wm USING (sample_id, cz, cx) GROUP BY 1, 2, 3""",
 )
 def angular_features(spark, sf_dir):
-    energy = spx.angular_energy(_radial(spark, sf_dir), WINDOW)
-    rows = spx.angular_features(spx.angular_histogram(energy))
+    rows = spx.angular_features(spx.ring_histogram(_radial(spark, sf_dir), WINDOW))
     columns = [
         "ang_entropy", "circ_var", "dom_dir_frac", "window_max_frac", "window_cf", "ang_moment_2", "ang_moment_4",
     ]
@@ -286,8 +285,7 @@ def angular_features(spark, sf_dir):
 
 @query("angular_peaks", "W15 K13")
 def angular_peaks(spark, sf_dir):
-    energy = spx.angular_energy(_radial(spark, sf_dir), WINDOW)
-    rows = spx.angular_features(spx.angular_histogram(energy))
+    rows = spx.angular_features(spx.ring_histogram(_radial(spark, sf_dir), WINDOW))
     return rounded(rows.select(*pt.PATCH, *[c for c in rows.columns if c.startswith(("ang_top", "ang_peak"))]))
 
 
