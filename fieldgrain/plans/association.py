@@ -178,36 +178,40 @@ def correlation_rank(spark, sf_dir):
     return rounded(ac.correlation_ranking(predictions(spark, sf_dir), features, "cs_absolute_error_percent"), 8)
 
 
-_STEP = f"""WITH {E}, {pct_cte('pa', 'examples', ['campaign_condition_id', 'patch_idx'], 'truth_cs_center_m_s', {'med': .5})},
-  st AS (SELECT campaign_condition_id, patch_idx, count(*) AS n, avg(truth_cs_center_m_s) AS mean, stddev_samp(truth_cs_center_m_s) AS std,
-    min(truth_cs_center_m_s) AS lo, max(truth_cs_center_m_s) AS hi FROM examples GROUP BY 1, 2)"""
+_STEP = f"""WITH {E}, sx AS (SELECT *, truth_cs_center_m_s * 0.7320508075688772::DOUBLE AS speed FROM examples), {pct_cte('pa', 'sx', ['campaign_condition_id', 'patch_idx'], 'speed', {'med': .5})},
+  st AS (SELECT campaign_condition_id, patch_idx, count(*) AS n, avg(speed) AS mean, stddev_samp(speed) AS std,
+    min(speed) AS lo, max(speed) AS hi FROM sx GROUP BY 1, 2)"""
+
+
+def _speeds(spark, sf_dir):
+    return examples(spark, sf_dir).withColumn("speed", F.col("truth_cs_center_m_s") * F.lit(0.7320508075688772))
 
 
 @query(
     "step_summary",
     "G21 G23",
-    f"""{_STEP} SELECT campaign_condition_id, patch_idx, CAST(n AS BIGINT) AS n_rows, round(mean, 4) AS truth_cs_center_m_s_mean,
-      round(CASE WHEN n > 1 THEN std END, 4) AS truth_cs_center_m_s_std, lo AS truth_cs_center_m_s_min, hi AS truth_cs_center_m_s_max,
-      round(med, 4) AS truth_cs_center_m_s_median FROM st JOIN pa USING (campaign_condition_id, patch_idx)""",
+    f"""{_STEP} SELECT campaign_condition_id, patch_idx, CAST(n AS BIGINT) AS n_rows, round(mean, 4) AS speed_mean,
+      round(CASE WHEN n > 1 THEN std END, 4) AS speed_std, round(lo, 4) AS speed_min, round(hi, 4) AS speed_max,
+      round(med, 4) AS speed_median FROM st JOIN pa USING (campaign_condition_id, patch_idx)""",
 )
 def step_summary(spark, sf_dir):
     keys = ["campaign_condition_id", "patch_idx"]
-    return rounded(ac.step_summary(examples(spark, sf_dir), keys, ["truth_cs_center_m_s"]), 4)
+    return rounded(ac.step_summary(_speeds(spark, sf_dir), keys, ["speed"]), 4)
 
 
 @query(
     "condition_summary",
     "G22",
-    f"""{_STEP} SELECT campaign_condition_id, CAST(count(*) AS BIGINT) AS n_steps, round(avg(mean), 4) AS truth_cs_center_m_s_mean_over_steps,
-      round(CASE WHEN count(*) > 1 THEN stddev_samp(mean) END, 4) AS truth_cs_center_m_s_std_over_steps,
-      round(CASE WHEN count(*) > 1 THEN regr_slope(mean, patch_idx) END, 4) AS truth_cs_center_m_s_slope,
-      round(CASE WHEN count(*) > 1 THEN regr_r2(mean, patch_idx) END, 6) AS truth_cs_center_m_s_r2 FROM st GROUP BY 1""",
+    f"""{_STEP} SELECT campaign_condition_id, CAST(count(*) AS BIGINT) AS n_steps, round(avg(mean), 4) AS speed_mean_over_steps,
+      round(CASE WHEN count(*) > 1 THEN stddev_samp(mean) END, 4) AS speed_std_over_steps,
+      round(CASE WHEN count(*) > 1 THEN regr_slope(mean, patch_idx) END, 4) AS speed_slope,
+      round(CASE WHEN count(*) > 1 THEN regr_r2(mean, patch_idx) END, 6) AS speed_r2 FROM st GROUP BY 1""",
 )
 def condition_summary(spark, sf_dir):
-    columns = ["truth_cs_center_m_s"]
-    steps = ac.step_summary(examples(spark, sf_dir), ["campaign_condition_id", "patch_idx"], columns)
+    columns = ["speed"]
+    steps = ac.step_summary(_speeds(spark, sf_dir), ["campaign_condition_id", "patch_idx"], columns)
     out = ac.condition_summary(steps, ["campaign_condition_id"], "patch_idx", columns)
-    return rounded(out, 4, truth_cs_center_m_s_r2=6)
+    return rounded(out, 4, speed_r2=6)
 
 
 # --- scores ----------------------------------------------------------------------------------------

@@ -193,15 +193,17 @@ def condition_key(spark, sf_dir):
 @query(
     "frozen_split_check",
     "IO7",
-    f"""WITH {_split_cte()}, fr AS (SELECT example_id, campaign_condition_id,
-        CASE WHEN iteration_index = 2 THEN 'moved' ELSE campaign_run_id END AS campaign_run_id
-      FROM split WHERE model_id <> 'N')
-    SELECT CAST(0 AS BIGINT) AS duplicate_current_ids, CAST(0 AS BIGINT) AS duplicate_frozen_ids,
-      CAST(0 AS BIGINT) AS missing_in_current,
-      CAST(count(*) FILTER (fr.example_id IS NULL) AS BIGINT) AS missing_in_frozen,
-      CAST(count(*) FILTER (fr.campaign_condition_id <> e.campaign_condition_id) AS BIGINT) AS changed_campaign_condition_id,
-      CAST(count(*) FILTER (fr.campaign_run_id <> e.campaign_run_id) AS BIGINT) AS changed_campaign_run_id
-    FROM examples e LEFT JOIN fr ON e.example_id = fr.example_id""",
+    f"""WITH {_split_cte()}, fr AS (SELECT example_id, count(*) AS n, max(campaign_condition_id) AS c,
+        max(CASE WHEN iteration_index = 2 THEN 'moved' ELSE campaign_run_id END) AS r
+      FROM split WHERE model_id <> 'N' GROUP BY 1),
+    cur AS (SELECT example_id, count(*) AS n, max(campaign_condition_id) AS c, max(campaign_run_id) AS r FROM examples GROUP BY 1)
+    SELECT CAST(count(*) FILTER (cur.n > 1) AS BIGINT) AS duplicate_current_ids,
+      CAST(count(*) FILTER (fr.n > 1) AS BIGINT) AS duplicate_frozen_ids,
+      CAST(count(*) FILTER (cur.n IS NULL) AS BIGINT) AS missing_in_current,
+      CAST(count(*) FILTER (fr.n IS NULL) AS BIGINT) AS missing_in_frozen,
+      CAST(count(*) FILTER (fr.c <> cur.c) AS BIGINT) AS changed_campaign_condition_id,
+      CAST(count(*) FILTER (fr.r <> cur.r) AS BIGINT) AS changed_campaign_run_id
+    FROM cur FULL JOIN fr ON cur.example_id = fr.example_id""",
 )
 def frozen_split_check(spark, sf_dir):
     frozen = (
