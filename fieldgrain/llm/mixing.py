@@ -88,7 +88,8 @@ def mix_blocks(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: flo
     cut = full.select(*keep, "rank", "start", F.explode(span).alias("block"))
     low, high = F.greatest("start", F.col("block") * block_words), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words)
     cut = cut.withColumn("first", low - F.col("start")).withColumn("words", high - low)
-    met = cut.join(times, ["rank", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0).cast("long")))
+    # the number of slots follows the input though few rows make them, so the join must not be planned as a broadcast
+    met = cut.join(times.hint("merge"), ["rank", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0).cast("long")))
     columns = [*keep, "start", "block", "first", "words", "times"]
     zero = F.lit(0).cast("long")
     none = placed.where("size = 0").select(*keep, zero.alias("start"), F.lit(None).cast("long").alias("block"), zero.alias("first"), zero.alias("words"), zero.alias("times"))
