@@ -81,6 +81,8 @@ def count_grams(docs: DataFrame, buckets: int) -> DataFrame:
 class Model:
     def __init__(self, languages: list[str], counts: np.ndarray, ambiguous: float):
         self.languages, self.ambiguous = languages, ambiguous
+        if not languages:  # predict() then says that it does not know
+            return
         self.code = codewords(len(languages))
         shares = (counts + 0.5) / (counts.sum(1, keepdims=True) + 0.5 * counts.shape[1])
         ones = (self.code.T > 0).astype(float)

@@ -213,7 +213,7 @@ def removed_text(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents with their remaining text; bytes of a code point that a removal has split are dropped."""
     columns = docs.columns
     met = _with_spans(docs, length)
-    kept = F.udf(lambda data, spans: kept_bytes(bytes(data), united(spans)).decode("utf-8", "ignore"), "string")
+    kept = F.udf(lambda data, spans: kept_bytes(bytes(data), united(spans or [])).decode("utf-8", "ignore"), "string")
     changed = met.withColumn("text", F.when(F.col("spans").isNotNull(), kept("_bytes", "spans")).otherwise(F.col("text")))
     if "n_chars" in columns:
         changed = changed.withColumn("n_chars", F.when(F.col("spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
