@@ -26,7 +26,8 @@ def predict_maps(features: DataFrame, model, predictors: list[str] = SPECTRAL_FE
     """Quantile, wavenumber and speed of every window, with its place in the sample's map; unusable windows stay as rows."""
     scored = models.score_valid(features, model, predictors)
     speed = with_speed(scored, F.col("q_pred"), truth if truth is not None else F.lit(None).cast("double"), frequency)
+    known = [F.col("target_q").alias("q_true")] if "target_q" in features.columns else []
     return speed.select(
-        "sample_id", "example_id", F.col("cz").alias("map_z"), F.col("cx").alias("map_x"), "prediction_valid", "q_pred",
+        *known, "sample_id", "example_id", F.col("cz").alias("map_z"), F.col("cx").alias("map_x"), "prediction_valid", "q_pred",
         "k_pred_rad_m", "cs_pred_m_s", "cs_true_m_s", "cs_error_m_s", "cs_error_percent", "cs_absolute_error_percent", "sws_valid",
     )
