@@ -7,10 +7,9 @@ with the probability Jaccard of their weights; with the default, equal weights,
 
 34 bands of 6 slots find a pair of similarity 0.8 but for 3 in a hundred thousand. Documents with the same shingles are
 one node. A node is verified against the leading node of its two largest buckets, then against the leading nodes of its
-other buckets (another in each band) that are not yet in its component; last, nodes of a bucket that are in different
-components are verified against each other, within smaller buckets where a bucket is large: two common bands instead of
-one, which miss 4 in ten thousand of the pairs at just 0.8 and no pair that a chain of others joins. Verification compares the whole shingle sets. Pairs inside a
-component are never listed.
+other buckets (another in each band) that are not yet in its component. Last, nodes of a bucket that are in different
+components are verified against each other; nodes of large buckets first meet on their rarest shingles, which is exact
+(prefix_pairs). Verification compares the whole shingle sets. Pairs inside a component are never listed.
 
 Defined cases: null counts as empty; documents without words are alike only if their texts are equal; rows with null or
 repeated ids belong to the class of their text; a class is named by its smallest id; an empty table gives an empty
@@ -30,7 +29,7 @@ from fieldgrain.llm.common import documents, text_of, written
 WORDS = 5
 BANDS, ROWS = 34, 6
 SIMILARITY = 0.8
-#: Members of a bucket beyond which two common bands are asked for.
+#: Members of a bucket beyond which they meet on their rarest shingles.
 LARGE = 16
 GROUP_BYTES = 2_000_000
 U = np.uint64
@@ -200,6 +199,36 @@ def _ordered(a: str, b: str) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def prefix_pairs(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (node, part) in different parts that can be similar enough; none that is so is left out.
+
+    A set is ranked with its rarest shingles first. Two sets meet at their first common shingle; from there on they
+    share at most what follows in the shorter rest, so it must stand early in both, earliest in the smaller set. Sets
+    that vary one frequent original in different ways have their own shingles at these ranks, and do not meet.
+    """
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, part, raw in zip(*(batch.column(c).to_pylist() for c in ("node", "part", "shingles"))):
+                each = np.frombuffer(raw, np.uint32).astype(np.int64)
+                same = lambda x, k=len(each): pa.array(np.full(k, x, np.int64))
+                yield pa.RecordBatch.from_arrays([same(node), same(part), same(len(each)), pa.array(each)], ["node", "part", "n", "shingle"])
+
+    rows = written(sets.join(nodes, "node").select("node", "part", "shingles").mapInArrow(listed, "node long, part long, n long, shingle long"), "shingles")
+    often = rows.groupBy("shingle").agg(F.count("*").alias("often"))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle"))
+    after = F.col("n") - F.col("rank") + 1
+    ranked = rows.join(often, "shingle").withColumn("rank", rank)
+    early = written(ranked.where((after >= similarity * F.col("n") - 1e-6) & (F.col("often") > 1)).withColumn("after", after).drop("rank", "often"), "early")
+    # the smaller set of a pair, by (n, node), is met in the shorter list
+    lesser = early.where((1 + similarity) * F.col("after") >= 2 * similarity * F.col("n") - 1e-6)
+    lesser = lesser.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("node", "part", "n", "after")])
+    ordered = F.struct("n2", "node2") < F.struct(F.col("n").alias("n2"), F.col("node").alias("node2"))
+    enough = (1 + similarity) * F.least("after", "after2") >= similarity * (F.col("n") + F.col("n2")) - 1e-6
+    met = early.join(lesser, "shingle").where((F.col("part") != F.col("part2")) & ordered & enough)
+    return met.select(*_ordered("node", "node2"))
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, counted: bool = False) -> DataFrame:
     """doc_id, node and class_id (the class's smallest id) of every row."""
     signs = written(signature_table(docs, bands, rows, counted), "signatures")
@@ -225,17 +254,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     labelled = members.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
     mixed = labelled.groupBy("band", "value").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("band", "value")
     left = written(labelled.join(mixed, ["band", "value"]).select("band", "value", "node", "n", "part", "size"), "mixed")
-
-    def crossing(rows: DataFrame, keys: list[str]) -> DataFrame:
-        other = rows.select(*keys, F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("part").alias("part2"))
-        met = rows.join(other, keys).where((F.col("part") < F.col("part2")) & fits("n", "n2"))
-        return met.select(*_ordered("node", "node2"))
-
-    small = crossing(left.where(F.col("size") <= LARGE), ["band", "value"])
-    more = members.select("node", F.col("band").alias("band2"), F.col("value").alias("value2"))
-    large = left.where(F.col("size") > LARGE).join(more, "node").where("band <> band2")
-    finer = crossing(large, ["band", "value", "band2", "value2"])
-    later = written(verified(small.union(finer).distinct(), sets, similarity), "links")
+    small = left.where(F.col("size") <= LARGE)
+    other = small.select("band", "value", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("part").alias("part2"))
+    met = small.join(other, ["band", "value"]).where((F.col("part") < F.col("part2")) & fits("n", "n2")).select(*_ordered("node", "node2"))
+    large = left.where(F.col("size") > LARGE).groupBy("node").agg(F.min("part").alias("part"))
+    later = written(verified(met.union(prefix_pairs(large, sets, similarity)).distinct(), sets, similarity), "links")
     whole = components(links.union(later))
     placed = signs.select("doc_id", "node").join(whole, "node", "left").withColumn("part", F.coalesce("part", "node"))
     named = placed.groupBy("part").agg(F.min("doc_id").alias("class_id"))
