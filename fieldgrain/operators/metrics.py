@@ -9,12 +9,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fieldgrain.functions.semantics import EPS, finite, null_safe_join, percent, ratio, require_columns, share
 from fieldgrain.operators.order_stats import (
     average_ranks,
-    hash_positions,
     is_large,
     percentiles,
     row_positions,
@@ -219,30 +218,49 @@ def outlier_rates(flagged: DataFrame, keys: Sequence[str]) -> DataFrame:
     return _join([base, ranks], keys)
 
 
-def hotspots_and_controls(rows: DataFrame, fraction: float, order: Sequence[str]) -> DataFrame:
-    """The worst ``fraction`` of rows, and as many controls spread evenly over the rows below the median.
+def hotspots_and_controls(rows: DataFrame, fraction: float) -> DataFrame:
+    """The worst ``ceil(fraction * n)`` rows, and as many controls spread evenly over the rows below the median.
 
-    Control positions are ``round(linspace(1, pool, count))`` over the pool
-    ordered by md5 of ``order``. Both ranks are distributed; no global sort
-    runs in one task. The pool must hold at least as many rows as the hotspots.
+    Rows count if ``sws_valid`` and their error is finite. Equal errors go by ``example_id``. Controls stand at
+    ``round(linspace(1, pool, count))`` of the pool ordered by ``cx, cz, example_id``; one control is the pool's last row.
+    A pool smaller than the number of hotspots is an error. Ranks are summed from counts per map column and position:
+    a window holds the distinct columns, the positions of a column or the rows of a position, never all rows.
     """
-    valid = rows.where(F.col("sws_valid") & F.col(ABS_ERROR).isNotNull())
-    count = valid.count()
-    hot_n = max(1, -(-count // round(1 / fraction))) if count else 0
-    hot = valid.orderBy(F.desc(ABS_ERROR), "example_id").limit(hot_n).withColumn("selection_group", F.lit("hotspot"))
+    error = F.col(ABS_ERROR)
+    valid = rows.where(F.col("sws_valid") & (F.abs(error) < float("inf")))
+    wanted = F.greatest(F.lit(1), F.ceil(F.lit(fraction) * F.col("group_size")))
+    worst = row_positions(valid, [], ABS_ERROR, ["example_id"], descending=True).where(F.col("position") <= wanted)
+    limits = worst.agg(F.max(wanted).alias("_hot"), F.min(error).alias("_cut"))
+    above = valid.crossJoin(F.broadcast(limits)).agg(F.count_if(error > F.col("_cut")).alias("_above"))
     median = percentiles(valid, [], ABS_ERROR, {"_median": 0.5})
-    pool = valid.crossJoin(F.broadcast(median)).where(F.col(ABS_ERROR) < F.col("_median")).drop("_median")  # one row
-    ranked = hash_positions(pool, [], order, "control")
-    step = (F.col("group_size") - 1) / F.lit(float(max(hot_n - 1, 1)))
-    # Position p is taken when some j has round(1 + j*step) = p; only the two nearest j can.
-    near = F.round((F.col("position") - 1) / step).cast("long")
+    facts = limits.crossJoin(above).crossJoin(median)  # one row each
+    known = valid.crossJoin(F.broadcast(facts))
+    tie = F.row_number().over(Window.partitionBy(ABS_ERROR).orderBy("example_id"))
+    tied = known.where(error == F.col("_cut")).withColumn("_tie", tie).where(F.col("_tie") <= F.col("_hot") - F.col("_above"))
+    hot = known.where(error > F.col("_cut")).unionByName(tied.drop("_tie"))
+
+    pool = known.where(error < F.col("_median"))
+    cells = pool.groupBy("cx", "cz").agg(F.count("*").alias("_n"))
+    columns = cells.groupBy("cx").agg(F.sum("_n").alias("_n"))
+    before = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    everything = Window.partitionBy(F.lit(0))
+    columns = columns.select(F.col("cx").alias("_cx"), before(everything.orderBy("cx")).alias("_left"), F.sum("_n").over(everything).alias("_pool"))
+    cells = cells.withColumn("_below", before(Window.partitionBy("cx").orderBy("cz")))
+    cells = cells.join(columns, F.col("cx").eqNullSafe(F.col("_cx"))).select("_cx", F.col("cz").alias("_cz"), F.expr("_left + _below").alias("_start"), "_pool")
+    inside = F.row_number().over(Window.partitionBy("cx", "cz").orderBy("example_id"))
+    met = F.col("cx").eqNullSafe(F.col("_cx")) & F.col("cz").eqNullSafe(F.col("_cz"))
+    ranked = pool.withColumn("_inside", inside).join(cells, met).withColumn("_at", F.expr("_start + _inside"))
+    step = (F.col("_pool") - 1) / F.greatest(F.col("_hot") - 1, F.lit(1)).cast("double")
+    # Steps are at least 1, so positions differ; position p is taken when a j near (p - 1) / step has round(1 + j*step) = p.
+    near = F.floor((F.col("_at") - 1) / F.greatest(step, F.lit(1.0)))
     taken = F.lit(False)
-    for shift in (-1, 0, 1):
+    for shift in (-1, 0, 1, 2):
         j = near + shift
-        taken = taken | ((j >= 0) & (j <= hot_n - 1) & (F.round(1 + j * step) == F.col("position")))
-    keep = F.when(F.col("group_size") <= hot_n, F.lit(True)).otherwise(taken)
-    control = ranked.where(keep).drop("position", "group_size").withColumn("selection_group", F.lit("control"))
-    return hot.unionByName(control)
+        taken = taken | ((j >= 0) & (j < F.col("_hot")) & (F.round(1 + j * step) == F.col("_at")))
+    short = F.raise_error(F.lit("fewer rows below the median than hotspots")).cast("boolean")
+    chosen = F.when(F.col("_pool") < F.col("_hot"), short).when(F.col("_hot") == 1, F.col("_at") == F.col("_pool")).otherwise(taken)
+    group = lambda df, name: df.select(*rows.columns, F.lit(name).alias("selection_group"))
+    return group(hot, "hotspot").unionByName(group(ranked.where(chosen), "control"))
 
 
 def support_occupancy(rows: DataFrame, keys: Sequence[str], bin_column: str, split: str = "partition") -> DataFrame:

@@ -197,11 +197,11 @@ def worst_predictions(spark, sf_dir):
 @query(
     "hotspot_controls",
     "T3",
-    f"""WITH {P}, v AS (SELECT * FROM predictions WHERE sws_valid),
-    n AS (SELECT CAST(ceil(count(*) / 100.0::DOUBLE) AS BIGINT) AS hot FROM v),
+    f"""WITH {P}, v AS (SELECT *, campaign_size AS cx, campaign_frequency_hz AS cz FROM predictions WHERE sws_valid),
+    n AS (SELECT CAST(ceil(0.01::DOUBLE * count(*)) AS BIGINT) AS hot FROM v),
     md AS (SELECT median({APE}) AS med FROM v),
     hot AS (SELECT example_id, row_number() OVER (ORDER BY {APE} DESC, example_id) AS rn FROM v),
-    pool AS (SELECT example_id, row_number() OVER (ORDER BY md5('control:' || example_id)) AS rn,
+    pool AS (SELECT example_id, row_number() OVER (ORDER BY cx, cz, example_id) AS rn,
       count(*) OVER () AS total FROM v, md WHERE {APE} < med),
     pos AS (SELECT DISTINCT CAST(round(1 + j * ((total - 1) / (hot - 1)::DOUBLE)) AS BIGINT) AS rn
       FROM (SELECT DISTINCT total FROM pool), n, range((SELECT hot FROM n)) t(j))
@@ -209,7 +209,8 @@ def worst_predictions(spark, sf_dir):
     UNION ALL SELECT example_id, 'control' FROM pool JOIN pos USING (rn)""",
 )
 def hotspot_controls(spark, sf_dir):
-    picked = m.hotspots_and_controls(predictions(spark, sf_dir), 0.01, ["example_id"])
+    placed = predictions(spark, sf_dir).withColumn("cx", F.col("campaign_size")).withColumn("cz", F.col("campaign_frequency_hz"))
+    picked = m.hotspots_and_controls(placed, 0.01)
     return picked.select("example_id", "selection_group")
 
 

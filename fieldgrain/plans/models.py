@@ -321,14 +321,19 @@ def theory_quantile(spark, sf_dir):
 
 
 def _candidates(spark, sf_dir):
-    """Grid candidates per run: each order's line numbers on a plane, with the coverage cell of the row."""
+    """Grid candidates per run (a part): every valid row at a position of its own, with the row's coverage cell.
+
+    Positions fill rows of eight in the order of the examples; a part's rows do not grow with the table.
+    """
     rows = assigned(spark, sf_dir).where("coverage_valid")
-    return rows.select(
-        F.concat(F.lit("run_"), (F.col("part_id") % 50).cast("string")).alias("run_id"),
-        (F.pmod(F.xxhash64("example_id"), F.lit(60)).cast("int") * 4).alias("cx"),
-        (F.pmod(F.xxhash64("example_id", F.lit(1)), F.lit(60)).cast("int") * 4).alias("cz"),
+    order = Window.partitionBy("part_id").orderBy("example_id", "coverage_cell_key")
+    at = F.col("_at")
+    return rows.withColumn("_at", F.row_number().over(order) - 1).select(
+        F.concat(F.lit("run_"), F.col("part_id").cast("string")).alias("run_id"),
+        (at % 8 * 4).cast("int").alias("cx"),
+        (F.floor(at / 8) * 4).cast("int").alias("cz"),
         F.col("coverage_cell_key").alias("cell_key"),
-    ).dropDuplicates(["run_id", "cx", "cz"])
+    )
 
 
 @query("directed_centers", "T7")

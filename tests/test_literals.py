@@ -200,3 +200,19 @@ def test_union_rules(spark):
         ds.check_union([a, a.withColumn("c", F.lit(1))])
     assert ds.check_union([a, a.drop("b")], fill_missing=True).count() == 2
     assert ds.first_column(a, ["missing", "B"]) == "b"
+
+
+def test_hotspots_and_controls(spark):
+    """Two hotspots of ten; controls are the first and last of the pool by cx, cz, example_id; ties, NaN, short pools."""
+    rows = [(f"e{i}", i % 2, 9 - i, float(i), True) for i in range(10)] + [("n", 0, 0, float("nan"), True), ("x", 0, 0, 99.0, False)]
+    schema = "example_id string, cx int, cz int, cs_absolute_error_percent double, sws_valid boolean"
+    got = {(r.example_id, r.selection_group) for r in m.hotspots_and_controls(spark.createDataFrame(rows, schema), 0.2).collect()}
+    # below the median 4.5: e4, e2, e0 (cx 0), e3, e1 (cx 1)
+    assert got == {("e9", "hotspot"), ("e8", "hotspot"), ("e4", "control"), ("e1", "control")}
+    tied = [(f"e{i}", 0, i, 1.0 if i < 4 else 5.0, True) for i in range(9)]
+    got = {(r.example_id, r.selection_group) for r in m.hotspots_and_controls(spark.createDataFrame(tied, schema), 0.3).collect()}
+    assert got == {("e4", "hotspot"), ("e5", "hotspot"), ("e6", "hotspot"), ("e0", "control"), ("e2", "control"), ("e3", "control")}
+    one = {r.example_id for r in m.hotspots_and_controls(spark.createDataFrame(rows, schema), 0.05).collect()}
+    assert one == {"e9", "e1"}
+    with pytest.raises(Exception, match="fewer rows below the median"):
+        m.hotspots_and_controls(spark.createDataFrame(rows, schema), 0.9).collect()
