@@ -13,6 +13,7 @@ table gives no shards and an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -51,10 +52,10 @@ def feistel(index: np.ndarray, n: int, key: int) -> np.ndarray:
 
 
 def sequences(docs: DataFrame, length: int, vocabulary: str) -> DataFrame:
-    """doc_id, key, tie, part, n_tokens, record: a row for each sequence."""
+    """doc_id, key, tie, part, n_tokens, record, record_sha256: a row for each sequence."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", order_key().alias("key"), F.xxhash64("text").alias("tie"), text_of().alias("text"))
-    names = ["doc_id", "key", "tie", "part", "n_tokens", "record"]
+    names = ["doc_id", "key", "tie", "part", "n_tokens", "record", "record_sha256"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(vocabulary)
@@ -68,15 +69,15 @@ def sequences(docs: DataFrame, length: int, vocabulary: str) -> DataFrame:
                     count.append(len(piece))
                     record.append(piece.tobytes().ljust(2 * length, b"\0"))
             at = pa.array(owner, pa.int64())
-            arrays = [*[batch.column(c).take(at) for c in names[:3]], pa.array(part, pa.int64()), pa.array(count, pa.int64()), pa.array(record, pa.binary())]
+            arrays = [*[batch.column(c).take(at) for c in names[:3]], pa.array(part, pa.int64()), pa.array(count, pa.int64()), pa.array(record, pa.binary()), pa.array([hashlib.sha256(r).digest() for r in record], pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return rows.mapInArrow(cut, f"doc_id {kind}, key long, tie long, part long, n_tokens long, record binary")
+    return rows.mapInArrow(cut, f"doc_id {kind}, key long, tie long, part long, n_tokens long, record binary, record_sha256 binary")
 
 
 def materialise(docs: DataFrame, path: str, length: int = LENGTH, shard_slots: int = SHARD_SLOTS, key: int = 11, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
     """Write the shards below ``path`` and return doc_id, part, n_tokens, slot, shard, offset, record_sha256."""
-    cut = written(sequences(docs, length, vocabulary), "sequences")
+    cut = written(sequences(docs, length, vocabulary), "sequences", compression="zstd")
     # equal rows share key and tie: they are numbered by a count of copies of each part
     each = cut.groupBy("key", "tie", "part").agg(F.count("*").alias("copies"))
     sizes = written(each.groupBy("key", "tie").agg(F.count("*").alias("parts"), F.max("copies").alias("copies")).withColumn("n", F.col("parts") * F.col("copies")).withColumn("all", F.lit(0)), "sizes")
@@ -100,7 +101,8 @@ def materialise(docs: DataFrame, path: str, length: int = LENGTH, shard_slots: i
     parts = max(1, -(-total // shard_slots))
     dealt = placed.select("shard", "slot", line).repartition(min(parts, 100_000), "shard").sortWithinPartitions("shard", "slot")
     dealt.select("shard", "value").write.partitionBy("shard").option("lineSep", "\n").text(path)
-    return placed.select("doc_id", "part", "n_tokens", "slot", "shard", (F.expr(f"slot % {shard_slots}") * stride(length)).alias("offset"), F.sha2("record", 256).alias("record_sha256"))
+    # the digests come from the first pass, so that records are dealt out for the shards only
+    return placed.select("doc_id", "part", "n_tokens", "slot", "shard", (F.expr(f"slot % {shard_slots}") * stride(length)).alias("offset"), F.lower(F.hex("record_sha256")).alias("record_sha256"))
 
 
 def read_from(spark: SparkSession, path: str, slot: int, length: int = LENGTH, shard_slots: int = SHARD_SLOTS) -> DataFrame:
