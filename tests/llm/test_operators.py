@@ -269,3 +269,18 @@ def test_training_order_round_trip(spark, docs, rows, tmp_path):
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 1000])
 def test_feistel_is_a_permutation(n):
     assert sorted(training_order.feistel(np.arange(n), n, 5).tolist()) == list(range(n))
+
+
+def test_prefix_pairs_lose_no_similar_pair(spark):
+    """Variants of one original, two to a part: every similar pair is met, pairs of one part are not."""
+    rng = np.random.default_rng(3)
+    sets = []
+    for i in range(80):
+        lost = rng.choice(60, rng.integers(0, 14), replace=False)
+        sets.append(sorted((set(range(60)) - set(lost.tolist())) | set(rng.integers(60, 90, rng.integers(0, 10)).tolist())))
+    rows = spark.createDataFrame([(i, bytearray(np.array(x, np.uint32).tobytes())) for i, x in enumerate(sets)], "node long, shingles binary")
+    nodes = spark.createDataFrame([(i, i // 2) for i in range(80)], "node long, part long")
+    got = {(r.a, r.b) for r in near_dups.prefix_pairs(nodes, rows, 0.8).collect()}
+    alike = lambda x, y: len(set(x) & set(y)) >= 0.8 * len(set(x) | set(y))
+    want = {(a, b) for a in range(80) for b in range(a + 1, 80) if a // 2 != b // 2 and alike(sets[a], sets[b])}
+    assert want and want <= got and all(a // 2 != b // 2 for a, b in got)
