@@ -5,6 +5,9 @@ a keyed Feistel permutation of the next even power of two, walked along its cycl
 gives each its slot. Shard k holds the slots from k * shard_slots on, in order; each record is two bytes an id and one
 line feed, so that slot s is at byte (s mod shard_slots) * stride of its shard and reading can resume anywhere.
 
+Documents are dealt out in ranges of their ids before they are encoded, so a sequence's number is the count of all
+sequences in earlier ranges and its place in its own: records are shuffled once, to their shards.
+
 Spark's text writer puts the records' bytes as they are. A shard is one task's output, since its size is fixed.
 
 Defined cases: null and empty texts have no sequences; rows with equal ids are ordered by a hash of the text; an empty
@@ -16,13 +19,15 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fieldgrain.llm.byte_bpe import coder
-from fieldgrain.llm.common import documents, order_key, running_starts, text_of, written
+from fieldgrain.llm.common import documents, order_key, text_of, written
 from fieldgrain.session import ensure_checkpoint_dir
 
 LENGTH = 512
@@ -52,13 +57,17 @@ def feistel(index: np.ndarray, n: int, key: int) -> np.ndarray:
 
 
 def sequences(docs: DataFrame, length: int, vocabulary: str) -> DataFrame:
-    """doc_id, key, tie, part, n_tokens, record, record_sha256: a row for each sequence."""
+    """doc_id, part, n_tokens, record, record_sha256, range, place: a row for each sequence, its task and place in it."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", order_key().alias("key"), F.xxhash64("text").alias("tie"), text_of().alias("text"))
-    names = ["doc_id", "key", "tie", "part", "n_tokens", "record", "record_sha256"]
+    # rows equal in id and text are interchangeable: the salt spreads them over ranges
+    rows = docs.select("doc_id", order_key().alias("key"), F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("salt"), text_of().alias("text"))
+    order = ["key", "tie", "salt"]
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    names = ["doc_id", "part", "n_tokens", "record", "record_sha256", "range", "place"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(vocabulary)
+        range_, place = TaskContext.get().partitionId(), 0
         for batch in batches:
             owner, part, count, record = [], [], [], []
             for i, ids in enumerate(bpe.encode(batch.column("text").to_pylist())):
@@ -68,27 +77,26 @@ def sequences(docs: DataFrame, length: int, vocabulary: str) -> DataFrame:
                     part.append(p // length)
                     count.append(len(piece))
                     record.append(piece.tobytes().ljust(2 * length, b"\0"))
-            at = pa.array(owner, pa.int64())
-            arrays = [*[batch.column(c).take(at) for c in names[:3]], pa.array(part, pa.int64()), pa.array(count, pa.int64()), pa.array(record, pa.binary()), pa.array([hashlib.sha256(r).digest() for r in record], pa.binary())]
+            n = len(owner)
+            numbers = [pa.array(np.full(n, range_, np.int32)), pa.array(np.arange(place, place + n, dtype=np.int64))]
+            place += n
+            digests = pa.array([hashlib.sha256(r).digest() for r in record], pa.binary())
+            arrays = [batch.column("doc_id").take(pa.array(owner, pa.int64())), pa.array(part, pa.int64()), pa.array(count, pa.int64()), pa.array(record, pa.binary()), digests, *numbers]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return rows.mapInArrow(cut, f"doc_id {kind}, key long, tie long, part long, n_tokens long, record binary, record_sha256 binary")
+    return ranged.mapInArrow(cut, f"doc_id {kind}, part long, n_tokens long, record binary, record_sha256 binary, range int, place long")
 
 
 def materialise(docs: DataFrame, path: str, length: int = LENGTH, shard_slots: int = SHARD_SLOTS, key: int = 11, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
     """Write the shards below ``path`` and return doc_id, part, n_tokens, slot, shard, offset, record_sha256."""
+    spark = docs.sparkSession
     cut = written(sequences(docs, length, vocabulary), "sequences", compression="zstd")
-    # equal rows share key and tie: they are numbered by a count of copies of each part
-    each = cut.groupBy("key", "tie", "part").agg(F.count("*").alias("copies"))
-    sizes = written(each.groupBy("key", "tie").agg(F.count("*").alias("parts"), F.max("copies").alias("copies")).withColumn("n", F.col("parts") * F.col("copies")).withColumn("all", F.lit(0)), "sizes")
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    starts = running_starts(sizes, ["all"], "key", "tie", "n", "start").select("key", "tie", "start", "parts", "copies")
-    single = cut.join(starts, ["key", "tie"])
-    # copies of a row are told apart by their order among equals, which needs no order of its own as they are equal
-    copy = F.row_number().over(Window.partitionBy("key", "tie", "part").orderBy("n_tokens")) - 1
-    once = single.where("copies = 1").withColumn("copy", F.lit(0))
-    more = single.where("copies > 1").withColumn("copy", copy)
-    numbered = once.unionByName(more).withColumn("index", F.col("start") + F.col("copy") * F.col("parts") + F.col("part"))
+    # one row per task of the first pass: ranges ascend, so a range starts where the ones before it end
+    counts = cut.groupBy("range").agg(F.count("*").alias("n")).orderBy("range").collect()
+    ends = list(accumulate((r["n"] for r in counts), initial=0))
+    total = ends[-1]
+    starts = spark.createDataFrame([(r["range"], s) for r, s in zip(counts, ends)], "range int, start long")
+    numbered = cut.join(F.broadcast(starts), "range").withColumn("index", F.col("start") + F.col("place"))
 
     @F.pandas_udf("long")
     def slot(index):
@@ -101,7 +109,7 @@ def materialise(docs: DataFrame, path: str, length: int = LENGTH, shard_slots: i
     parts = max(1, -(-total // shard_slots))
     dealt = placed.select("shard", "slot", line).repartition(min(parts, 100_000), "shard").sortWithinPartitions("shard", "slot")
     dealt.select("shard", "value").write.partitionBy("shard").option("lineSep", "\n").text(path)
-    # the digests come from the first pass, so that records are dealt out for the shards only
+    # the digests come from the first pass: records are neither read nor dealt out for the result
     return placed.select("doc_id", "part", "n_tokens", "slot", "shard", (F.expr(f"slot % {shard_slots}") * stride(length)).alias("offset"), F.lower(F.hex("record_sha256")).alias("record_sha256"))
 
 

@@ -266,6 +266,15 @@ def test_training_order_round_trip(spark, docs, rows, tmp_path):
             assert hashlib.sha256(data.tobytes()).hexdigest() == r["record_sha256"] and not data[r["n_tokens"] :].any()
 
 
+def test_training_order_numbers_sequences_by_id(spark, docs, empty, tmp_path):
+    got = training_order.materialise(docs.where("doc_id is not null").repartition(7), str(tmp_path / "shards"), length=16, shard_slots=8).collect()
+    index = {int(s): i for i, s in enumerate(training_order.feistel(np.arange(len(got)), len(got), 11))}
+    numbered = [(r["doc_id"], r["part"]) for r in sorted(got, key=lambda r: index[r["slot"]])]
+    assert [d for d, _ in numbered] == sorted(d for d, _ in numbered)
+    assert all(p == 0 or numbered[i - 1] == (d, p - 1) for i, (d, p) in enumerate(numbered))
+    assert training_order.materialise(empty, str(tmp_path / "none")).collect() == []
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 1000])
 def test_feistel_is_a_permutation(n):
     assert sorted(training_order.feistel(np.arange(n), n, 5).tolist()) == list(range(n))
