@@ -17,7 +17,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from fieldgrain.llm.common import documents, order_key, running_starts, text_of, words_of, written
+from fieldgrain.llm.common import documents, let, order_key, running_starts, text_of, words_of, written
 
 #: Multipliers of the index permutations, primes: the first that does not divide the number of blocks is used.
 MULTIPLIERS = (15485863, 32452843, 49979687, 67867967)
@@ -121,11 +121,11 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     left = left.withColumn("_copy", same(F.lit(0)))
     on = [left[c].eqNullSafe(shares[c]) for c in ("doc_id", "source", "tie", "_copy")]
     met = left.join(shares, on).select(*[left[c] for c in docs.columns], shares["_passes"])
-    one = met.withColumn("_runs", F.explode("_passes"))
     units = F.filter(F.split(F.regexp_replace("text", "^[\\x20\\x09-\\x0D]+", ""), "(?<=[\\x20\\x09-\\x0D])(?=[^\\x20\\x09-\\x0D])"), lambda w: w != "")
-    one = one.withColumn("_units", units)
-    piece = F.array_join(F.flatten(F.transform("_runs", lambda r: F.slice(F.col("_units"), (r["first"] + 1).cast("int"), r["words"].cast("int")))), "")
-    out = one.withColumn("text", piece)
+    # a text is split once, not for each of its passes and runs
+    taken = lambda u, runs: F.array_join(F.flatten(F.transform(runs, lambda r: F.slice(u, (r["first"] + 1).cast("int"), r["words"].cast("int")))), "")
+    texts = let(units, lambda u: F.transform("_passes", lambda runs: taken(u, runs)))
+    out = met.withColumn("text", F.explode(texts))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
