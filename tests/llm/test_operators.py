@@ -156,6 +156,24 @@ def test_quality_figures(spark, docs, rows):
     assert all(not r["kept"] for r in got if r["base_failed"])
 
 
+def test_quality_ratio_rejects_labelled_bad_texts(spark):
+    """Noisy texts pass the base rules and lie above a ratio of -1; the bound of the trusted rows rejects them."""
+    draw = random.Random(6)
+    words = [f"w{i}" for i in range(60)]
+    clean = [" ".join(draw.choices(words, k=draw.randint(30, 90))) for _ in range(300)]
+    noisy = [" ".join(w + draw.choice(["", "", "", "", "", "$$$", "&&&"]) for w in draw.choices(words, k=60)) for _ in range(60)]
+    rows = list(enumerate(clean + noisy))
+    labelled = [(i, int(i < 300)) for i in range(360) if i % 3]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in quality.quality(frame, spark.createDataFrame(labelled, "doc_id long, quality int")).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert all(got[i]["kept"] == bool(good) for i, good in labelled)
+    assert not any(got[i]["kept"] for i in range(300, 360)) and all(got[i]["ratio"] > -1 for i in range(300, 360))
+    assert sum(got[i]["kept"] for i in range(300)) >= 290
+    bare = quality.quality(frame, spark.createDataFrame([], "doc_id long, quality int")).collect()
+    assert all(r["kept"] and r["ratio"] == 0 for r in bare)
+
+
 def test_mixing_targets_and_limits(docs, rows):
     got = mixing.mix(docs, block_words=4).collect()
     assert Counter((r["doc_id"], r["size"]) for r in got) == Counter((r[0], len(WORD.findall(r[1] or ""))) for r in rows)
