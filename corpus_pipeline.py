@@ -7,13 +7,13 @@ return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fieldgrain.llm.byte_bpe import encode_and_decode
 from fieldgrain.llm.common import documents, written
 from fieldgrain.llm.language import UNKNOWN, predicted, train
 from fieldgrain.llm.mixing import mixed_texts
-from fieldgrain.llm.near_dups import near_duplicates
+from fieldgrain.llm.near_dups import near_classes
 from fieldgrain.llm.repeats import removed_text
 
 
@@ -25,12 +25,14 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class: the one with the smallest id, and of several with it, one."""
-    classes = near_duplicates(docs)
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    met = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return met.withColumn("_n", one).where("_n = 1").drop("_n")
+    """One document of each near-duplicate class: the one with the smallest id, nulls last, then with the smallest hash."""
+    # a row's key: two hashes, one over all columns and which of them are null; rows that share it are equal
+    keys = {"_text": F.xxhash64("text"), "_row": F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])}
+    keyed = docs.withColumns(keys)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", *keys)).alias("first")
+    kept = near_classes(keyed, list(keys)).groupBy("part").agg(first).select("first._text", "first._row")
+    # equal rows are brought to one first, by tasks' own rows before they are dealt out
+    return keyed.dropDuplicates(list(keys)).join(kept, list(keys), "left_semi").drop(*keys)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

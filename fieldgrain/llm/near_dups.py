@@ -144,7 +144,7 @@ def signed(texts: list[bytes], bands: int = BANDS, rows: int = ROWS, counted: bo
     return out
 
 
-def signature_table(docs: DataFrame, bands: int, rows: int, counted: bool) -> DataFrame:
+def signature_table(docs: DataFrame, bands: int, rows: int, counted: bool, carried: list[str]) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made, group, size = [], [], 0
@@ -156,12 +156,13 @@ def signature_table(docs: DataFrame, bands: int, rows: int, counted: bool) -> Da
                     group, size = [], 0
             made += signed(group, bands, rows, counted) if group else []
             node, n, band, short = zip(*made) if made else ((), (), (), ())
-            arrays = [batch.column("doc_id"), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(band, pa.list_(pa.int64())), pa.array(short, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "node", "n", "bands", "shingles"])
+            arrays = [*[batch.column(c) for c in names], pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(band, pa.list_(pa.int64())), pa.array(short, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, [*names, "node", "n", "bands", "shingles"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows_ = docs.select("doc_id", text_of().alias("text"))
-    return rows_.mapInArrow(sign, f"doc_id {kind}, node long, n long, bands array<long>, shingles binary")
+    names = ["doc_id", *carried]
+    kinds = "".join(f"{c} {docs.schema[c].dataType.simpleString()}, " for c in names)
+    rows_ = docs.select(*names, text_of().alias("text"))
+    return rows_.mapInArrow(sign, f"{kinds}node long, n long, bands array<long>, shingles binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -229,9 +230,9 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFr
     return met.select(*_ordered("node", "node2"))
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, counted: bool = False) -> DataFrame:
-    """doc_id, node and class_id (the class's smallest id) of every row."""
-    signs = written(signature_table(docs, bands, rows, counted), "signatures")
+def near_classes(docs: DataFrame, carried: list[str], similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, counted: bool = False) -> DataFrame:
+    """doc_id, the columns ``carried``, node and part (the class) of every row."""
+    signs = written(signature_table(docs, bands, rows, counted, carried), "signatures")
     banded = signs.where("n > 0").select("node", "n", F.posexplode("bands").alias("band", "value")).groupBy("band", "value", "node").agg(F.max("n").alias("n"))
     banded = written(banded, "bands")
     buckets = banded.groupBy("band", "value").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("node", "band"), "node", "n")).alias("lead")).where("size > 1")
@@ -260,7 +261,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     large = left.where(F.col("size") > LARGE).groupBy("node").agg(F.min("part").alias("part"))
     later = written(verified(met.union(prefix_pairs(large, sets, similarity)).distinct(), sets, similarity), "links")
     whole = components(links.union(later))
-    placed = signs.select("doc_id", "node").join(whole, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    placed = signs.select("doc_id", *carried, "node").join(whole, "node", "left")
+    return placed.withColumn("part", F.coalesce("part", "node"))
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, counted: bool = False) -> DataFrame:
+    """doc_id, node and class_id (the class's smallest id) of every row."""
+    placed = near_classes(docs, [], similarity, bands, rows, counted)
     named = placed.groupBy("part").agg(F.min("doc_id").alias("class_id"))
     return placed.join(named, "part").select("doc_id", "node", "class_id")
 

@@ -21,3 +21,19 @@ def test_stages(spark, tmp_path):
     assert {r[0] for r in near.select("doc_id").collect()} == set(range(35)) - {1, 2, 3, 4}
     texts = sorted(hashlib.sha256(r["text"].encode()).hexdigest() for r in mixed.collect())
     assert sorted(r["decoded_sha256"] for r in coded.collect()) == texts
+
+
+def test_near_copies_with_null_and_repeated_ids(spark):
+    """One row of each class stays, also if its ids are null or stand in other classes too."""
+    body = lambda k: " ".join(f"v{k}x{j}" for j in range(90))
+    groups = [
+        [(None, body(0)), (None, body(0) + " more")], [(None, body(1))], [(None, body(2)), (None, body(2))], [(7, body(3))], [(7, body(4))],
+        [(5, body(5)), (7, body(5) + " more")], [(None, body(6)), (9, body(6) + " more")], [(8, body(7)), (8, body(7))], [(None, None), (None, "")],
+    ]
+    rows = [(i, t, "en", None, len(t or "")) for g in groups for i, t in g]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_copies(spark, docs, "").collect()]
+    assert len(got) == len(groups)
+    for g in groups:
+        least = min((i for i, _ in g if i is not None), default=None)
+        assert sum(row in got and row[0] == least for row in set(g)) == 1
