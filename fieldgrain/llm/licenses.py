@@ -1,11 +1,10 @@
 """License scans with a positional index of rare template words.
 
 Templates are the texts of common licence notices. The index holds the positions of each template's words that are
-rare among the templates. A file's licence words are ranked by inverse document frequency over the templates; its
-``rare_words`` highest are looked up, and a posting at template position t for a word at place p votes for the
-alignment p - t. For an alignment with enough votes, all words of the mandatory key phrase must stand at their places
-in the file. The index is a fixed table of a few hundred rows, which is why it may be broadcast. Only DataFrame
-functions are used.
+rare among the templates. Every rare word of a file is looked up, and a posting at template position t for a word at
+place p votes for the alignment p - t. For an alignment with enough votes, all words of the mandatory key phrase must
+stand at their places in the file. The index is a fixed table of a few hundred rows, which is why it may be broadcast.
+Only DataFrame functions are used.
 
 Defined cases: a null or empty text has no words, null places and empty labels; ties among words of equal frequency go
 by the word; rows with a null or repeated id are told apart by a hash of the text, equal rows get equal results; an
@@ -17,7 +16,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fieldgrain.llm.common import documents, text_of
 
@@ -89,23 +88,19 @@ def _label(phrase: Column) -> Column:
     return F.coalesce(*[F.when(phrase == p, F.lit(label)) for p, label in PHRASES.items()])
 
 
-def alignments(docs: DataFrame, rare_words: int, votes: int) -> DataFrame:
+def alignments(docs: DataFrame, votes: int) -> DataFrame:
     """doc_id, tie and for every accepted template: its number, the best alignment and the share of its idf found."""
     spark = docs.sparkSession
     index = spark.createDataFrame(index_rows(), "word string, idf double, template int, position int, rare boolean, in_key boolean")
-    terms = index.groupBy("word").agg(F.first("idf").alias("idf"), F.max("rare").alias("rare"))
     placed = docs.select("doc_id", F.xxhash64("text").alias("tie"), license_words(text_of()).alias("_words"))
     # a text without any rare word gets no vote
     marks = F.array(*[F.lit(w) for w in sorted({r[0] for r in index_rows() if r[4]})])
     placed = placed.where(F.size(F.array_intersect("_words", marks)) > 0)
-    places = placed.select("doc_id", "tie", F.posexplode("_words").alias("place", "word")).join(F.broadcast(terms), "word")
     row = ["doc_id", "tie"]
-    ranked = places.withColumn("rank", F.dense_rank().over(Window.partitionBy(*row).orderBy(F.col("rare").desc(), F.col("idf").desc(), "word")))
-    looked = F.col("rare") & (F.col("rank") <= rare_words)
-    postings = ranked.withColumn("looked", looked).select(*row, "place", "word", "looked").join(F.broadcast(index), "word")
+    postings = placed.select(*row, F.posexplode("_words").alias("place", "word")).join(F.broadcast(index), "word")
     aligned = postings.groupBy(*row, "template", (F.col("place") - F.col("position")).alias("offset")).agg(
         F.countDistinct("position").alias("words"),
-        F.countDistinct(F.when(F.col("looked") & F.col("rare"), F.col("position"))).alias("votes"),
+        F.countDistinct(F.when(F.col("rare"), F.col("position"))).alias("votes"),
         F.countDistinct(F.when(F.col("in_key"), F.col("position"))).alias("keys"),
         F.sum("idf").alias("idf"),
     )
@@ -114,10 +109,10 @@ def alignments(docs: DataFrame, rare_words: int, votes: int) -> DataFrame:
     return good.withColumn("share", F.least(F.lit(1.0), F.col("idf") / F.col("all_idf")))
 
 
-def license_scan(docs: DataFrame, rare_words: int = 24, votes: int = 2) -> DataFrame:
+def license_scan(docs: DataFrame, votes: int = 2) -> DataFrame:
     """One row per document: words, base places and labels, all labels, and the best alignment's share as score."""
     names = F.array(*[F.lit(t[1]) for t in TEMPLATES])
-    good = alignments(docs, rare_words, votes).withColumn("label", F.element_at(names, F.col("template") + 1))
+    good = alignments(docs, votes).withColumn("label", F.element_at(names, F.col("template") + 1))
     found = good.groupBy("doc_id", "tie").agg(F.collect_set("label").alias("_more"), F.max("share").alias("_share"))
     base = phrase_places(docs.select("doc_id", "text")).withColumn("tie", F.xxhash64("text"))
     base = base.select("doc_id", "tie", "n_words", "n_base", "first_word", "last_word", "_base")

@@ -133,6 +133,18 @@ def test_licence_notices_beyond_the_phrases(spark):
     assert got[99]["labels"] == "" and got[99]["score"] == 0
 
 
+def test_licence_notices_in_one_file(spark):
+    """Every notice of a file counts, however many licence words stand around it."""
+    texts = [". ".join(t[2] for t in licenses.TEMPLATES)]
+    rare = sorted({r[0] for r in licenses.index_rows() if r[4]}, reverse=True)
+    assert len(rare) > 24
+    texts += [" and ".join(rare) + ". " + t[2] + ". " + " or ".join(rare) for t in licenses.TEMPLATES]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.license_scan(docs).collect()}
+    assert got[0]["labels"] == ",".join(sorted({t[1] for t in licenses.TEMPLATES}))
+    assert all(t[1] in got[i + 1]["labels"].split(",") and got[i + 1]["score"] > 0.9 for i, t in enumerate(licenses.TEMPLATES))
+
+
 def test_quality_figures(spark, docs, rows):
     labels = spark.createDataFrame([(6, 1), (7, 1), (13, 0), (None, 1), (6, 1)], "doc_id long, quality int")
     want = Counter()
