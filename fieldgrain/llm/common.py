@@ -77,3 +77,25 @@ def running_starts(df: DataFrame, group: list[str], key: str, tie: str, value: s
     if bits > 63:
         span = F.floor(span / 2).cast("decimal(20,0)")
     return starts(df.withColumn("_key", span.cast("long")), min(bits, 63), ["_key", key, tie]).drop("_key")
+
+
+def numbered(rows: DataFrame, group: list[str], order: list[str], out: str, name: str) -> DataFrame:
+    """Write the rows with ``out``, a row's place (long, from 0) in its group, and ``n``, the group's number of rows.
+
+    No window or task holds a group: rows are dealt out in ranges of (group, order), sorted, and written; a place is the
+    place inside a range plus the group's rows in earlier ranges. ``order`` may leave equal rows in any order, nulls
+    come first. Only (range, group) counts meet in a window.
+    """
+    keys = [F.col(c).asc_nulls_first() for c in [*group, *order]]
+    dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    at = dealt.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.spark_partition_id())
+    found = written(at, name)
+    parts = found.groupBy(*group, "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    whole = Window.partitionBy(*group)
+    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select(*group, "_part", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("n"))
+    mark = [F.col(c).alias(f"_{c}") for c in group]
+    starts = starts.select(*mark, F.col("_part").alias("_range"), "_first", "_before", "n")
+    on = [found["_part"] == F.col("_range"), *[found[c].eqNullSafe(F.col(f"_{c}")) for c in group]]
+    place = (F.col("_at") - F.col("_first") + F.col("_before")).cast("long")
+    return found.join(starts, on).select(*[found[c] for c in rows.columns], place.alias(out), F.col("n").cast("long").alias("n"))
