@@ -47,26 +47,33 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 class Features:
-    """Feature buckets of texts: of each word and of its beginnings."""
-
-    def __init__(self, buckets: int):
-        self.buckets = buckets
-        self.known: dict[bytes, np.ndarray] = {}
-
-    def of_word(self, word: bytes) -> np.ndarray:
-        found = self.known.get(word)
-        if found is None:
-            letters = word.decode("utf-8", "ignore")
-            names = [b"=" + word, *[b"^" + letters[:n].encode() for n in BEGINNINGS if n <= len(letters)]]
-            found = np.array([zlib.crc32(n) % self.buckets for n in names], np.int32)
-            if len(word) <= CACHED_BYTES and len(self.known) < CACHED_WORDS:
-                self.known[word] = found
+    """Features of texts: of each word and of its beginnings. ``place`` gives the number of each bucket, below 0 for
+    those that do not count; without it a feature is its bucket."""
+
+    def __init__(self, buckets: int, place: np.ndarray | None = None):
+        self.buckets, self.place = buckets, place
+        self.known: dict[bytes, np.ndarray | None] = {}
+
+    def of_word(self, word: bytes) -> np.ndarray | None:
+        """Features of a word, None if it has none that count."""
+        letters = word.decode("utf-8", "ignore")
+        names = [b"=" + word, *[b"^" + letters[:n].encode() for n in BEGINNINGS if n <= len(letters)]]
+        found = np.array([zlib.crc32(n) % self.buckets for n in names], np.int32)
+        if self.place is not None:
+            found = self.place[found]
+            found = found[found >= 0] if (found >= 0).any() else None
+        if len(word) <= CACHED_BYTES and len(self.known) < CACHED_WORDS:
+            self.known[word] = found
         return found
 
     def of_text(self, text: str) -> np.ndarray:
-        """The different buckets of a text, in ascending order."""
-        words = set(text.lower().encode().translate(SEPARATORS).split())
-        return np.unique(np.concatenate([self.of_word(w) for w in words])) if words else np.zeros(0, np.int32)
+        """The different features of a text, in ascending order."""
+        known, lists = self.known, []
+        for w in set(text.lower().encode().translate(SEPARATORS).split()):
+            found = known[w] if w in known else self.of_word(w)
+            if found is not None:
+                lists.append(found)
+        return np.unique(np.concatenate(lists)) if lists else np.zeros(0, np.int32)
 
 
 def feature_counts(marked: DataFrame, buckets: int) -> DataFrame:
@@ -129,6 +136,13 @@ def nn_pu(positives: Rows, unlabelled: Rows, prior: float, steps: int = 300, rat
     return model
 
 
+def placed(kept: np.ndarray, buckets: int) -> np.ndarray:
+    """The number of each bucket among those kept, -1 for the others."""
+    place = np.full(buckets, -1, np.int32)
+    place[kept] = np.arange(len(kept))
+    return place
+
+
 class Model:
     """Weights of the buckets that stayed, and a bias; without positives, no bias."""
 
@@ -137,10 +151,8 @@ class Model:
 
     def scorer(self):
         """Function from a text to its score; it remembers the summed words it has seen."""
-        table = np.zeros(self.buckets)
-        table[self.kept] = self.weights
-        features = Features(self.buckets)
-        return lambda text: 0.0 if self.bias is None else float(sigmoid(table[features.of_text(text)].sum() + self.bias))
+        features = Features(self.buckets, placed(self.kept, self.buckets))
+        return lambda text: 0.0 if self.bias is None else float(sigmoid(self.weights[features.of_text(text)].sum() + self.bias))
 
 
 def train(docs: DataFrame, labels: DataFrame, positive_limit: int = 4096, screen: float = 0.25, least: int = 3, strength: float = 1.5, shard_docs: int = 8192, buckets: int = BUCKETS) -> Model:
@@ -164,15 +176,12 @@ def train(docs: DataFrame, labels: DataFrame, positive_limit: int = 4096, screen
     chance = prior * sure / total["positives"] / (F.col("documents") / total["documents"])
     stay = counts.where((F.col("bucket") >= 0) & (F.col("positives") >= least) & (chance >= screen)).select("bucket")
     kept = np.sort(np.array([r["bucket"] for r in stay.collect()], np.int64))  # at most ``buckets`` numbers
-    place = np.full(buckets, -1, np.int32)
-    place[kept] = np.arange(len(kept))
-    shipped = spark.sparkContext.broadcast(place)
+    shipped = spark.sparkContext.broadcast(placed(kept, buckets))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features(buckets)
+        features = Features(buckets, shipped.value)
         for batch in batches:
-            found = [shipped.value[features.of_text(t.as_py())] for t in batch.column("text")]
-            lists = pa.array([x[x >= 0] for x in found], pa.list_(pa.int32()))
+            lists = pa.array([features.of_text(t.as_py()) for t in batch.column("text")], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("positive"), lists], ["doc_id", "positive", "features"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
