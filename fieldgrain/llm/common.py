@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable
 
@@ -23,9 +24,35 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
+    _HELPERS.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Folders of the tables that written() made and sweep() has not deleted.
+_HELPERS: list[str] = []
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of DataFrames that nobody holds any more; it does so after collecting garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def sweep(docs: DataFrame) -> None:
+    """Delete the helper tables that earlier stages wrote, but for those that ``docs`` still reads.
+
+    For a caller that has written each stage's result before the next one starts, as the pipeline does.
+    """
+    spark = docs.sparkSession
+    read = {f"/{part}/" for file in docs.inputFiles() for part in file.split("/")[-2:-1]}
+    for path in list(_HELPERS):
+        if f"/{path.rsplit('/', 1)[1]}/" not in read:
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+            _HELPERS.remove(path)
+    free_shuffles(spark)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of ``value``, which is evaluated once however often the body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)
