@@ -210,8 +210,11 @@ def _doubled(name: np.ndarray, depth: int) -> np.ndarray:
     return by
 
 
-def repeated_starts(pieces: list[bytes], length: int, memory: int = 64 << 20) -> list[np.ndarray]:
-    """For each piece, whether the string of ``length`` bytes at each place that has so many also stands elsewhere."""
+def repeated_starts(pieces: list[bytes], length: int, memory: int = 64 << 20, owners: list[int | None] | None = None) -> list[np.ndarray]:
+    """For each piece, whether the string of ``length`` bytes at each place that has so many also stands elsewhere.
+
+    With ``owners``, elsewhere means in a piece of another owner; a piece of owner None has several of its own.
+    """
     sizes = np.array([len(p) for p in pieces])
     text = np.zeros(int((sizes + 1).sum()) + 1, np.uint16)
     text[:-1] = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8)
@@ -222,6 +225,15 @@ def repeated_starts(pieces: list[bytes], length: int, memory: int = 64 << 20) ->
     long = common >= length
     hit = long.copy()
     hit[:-1] |= long[1:]
+    if owners is not None:
+        number = {o: i for i, o in enumerate(dict.fromkeys(owners))}
+        piece = np.searchsorted(ends, np.minimum(order, ends[-1]))
+        owner = np.array([number[o] for o in owners])[piece]
+        several = np.array([o is None for o in owners])[piece]
+        # suffixes that share a prefix of ``length`` are neighbours: a run of them has several owners or one
+        first = np.flatnonzero(~long)
+        apart = (np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)) | np.maximum.reduceat(several, first)
+        hit &= np.repeat(apart, np.diff(np.append(first, len(order))))
     flag = np.zeros(len(text), bool)
     flag[order[hit]] = True
     return [flag[e - s : e - s + max(0, s - length + 1)] for e, s in zip(ends.tolist(), sizes.tolist())]

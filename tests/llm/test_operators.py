@@ -92,8 +92,7 @@ def test_induced_sorting_against_sorting():
 
 
 @pytest.mark.parametrize("hot", [20_000, 0])
-def test_repeats_against_brute_force(docs, rows, hot, monkeypatch):
-    monkeypatch.setattr(repeats, "HOT", hot)
+def test_repeats_against_brute_force(docs, rows, hot):
     seen = defaultdict(int)
     texts = [(r[1] or "").encode() for r in rows]
     for t in texts:
@@ -108,9 +107,36 @@ def test_repeats_against_brute_force(docs, rows, hot, monkeypatch):
         kept = bytes(c for c, m in zip(t, mark) if not m)
         runs = len([1 for k, _ in itertools.groupby(mark) if k])
         want[(r[0], len(t), sum(mark), runs, hashlib.sha256(kept).hexdigest())] += 1
-    spans = repeats.repeated_spans(docs, hot=hot)
-    assert spans.count() > 0
-    assert Counter(map(tuple, repeats.remove_repeats(docs).collect())) == want
+    assert repeats.repeated_spans(docs, hot=hot).count() > 0
+    assert Counter(map(tuple, repeats.remove_repeats(docs, hot=hot).collect())) == want
+
+
+@pytest.mark.parametrize("hot", [20_000, 0])
+def test_passages_of_other_documents_against_brute_force(spark, hot):
+    """Passages of 50 words go wherever they stand in several documents, also with other white space, and only there."""
+    draw = random.Random(6)
+    fresh = lambda n: [f"{draw.choice('abcdefgh')}{draw.randint(0, 999)}é" for _ in range(n)]
+    passages = [fresh(n) for n in (49, 50, 51, 60, 140)]
+    own = fresh(70)
+    texts = [" ".join(own + fresh(3) + own), " ".join(["same"] * 300), "", None, " \n ", "x"]
+    for i in range(24):
+        words = fresh(draw.randint(0, 30)) + passages[i % 5] + fresh(draw.randint(0, 30))
+        texts.append(draw.choice(["", " "]) + draw.choice([" ", "\n", " \t"]).join(words))
+    texts += [" ".join(passages[3] + passages[4][:50]), " ".join(fresh(200_000) + passages[2] + fresh(5))]
+    rows = [(i, t, "en", "s", len(t or ""), 1, 2, "y", "z", 5, "w", b"b") for i, t in enumerate(texts)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, spans long, hit long, left string, _text string, _id long, _hash string, _bytes binary"
+    got = {r["doc_id"]: r for r in repeats.removed_passages(spark.createDataFrame(rows, kind).repartition(3), hot=hot).collect()}
+    owners = defaultdict(set)
+    for i, t in enumerate(texts):
+        w = WORD.findall(t or "")
+        for k in range(len(w) - 49):
+            owners[tuple(w[k : k + 50])].add(i)
+    for i, t in enumerate(texts):
+        w = WORD.findall(t or "")
+        gone = {k + j for k in range(len(w) - 49) if len(owners[tuple(w[k : k + 50])]) > 1 for j in range(50)}
+        assert WORD.findall(got[i]["text"] or "") == [x for k, x in enumerate(w) if k not in gone]
+        assert gone or got[i]["text"] == t
+        assert tuple(got[i])[5:] == (1, 2, "y", "z", 5, "w", b"b") and got[i]["n_chars"] == len(got[i]["text"] or "")
 
 
 def test_licence_base_and_labels(docs, rows):
