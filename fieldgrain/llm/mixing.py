@@ -117,18 +117,22 @@ def mixed_texts(docs: DataFrame, **options) -> DataFrame:
     # rows equal in id, source and text are numbered on both sides, so that each meets its own share
     same = lambda c: F.row_number().over(Window.partitionBy("doc_id", "source", "tie").orderBy(c))
     shares = runs.groupBy("doc_id", "source", "tie", "start").agg(F.collect_list("_runs").alias("_passes")).withColumn("_copy", same("start"))
-    left = docs.withColumn("tie", F.xxhash64("text"))
-    left = left.withColumn("_copy", same(F.lit(0)))
+    # the caller's columns travel in a struct, out of reach of the names used here
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_whole")
+    left = docs.select(whole, "doc_id", "source", F.xxhash64("text").alias("tie"))
+    every = F.xxhash64(*[F.col(f"_whole.`{c}`") for c in docs.columns])
+    left = left.withColumn("_copy", same(every))
     on = [left[c].eqNullSafe(shares[c]) for c in ("doc_id", "source", "tie", "_copy")]
-    met = left.join(shares, on).select(*[left[c] for c in docs.columns], shares["_passes"])
+    met = left.join(shares, on).select("_whole", F.col("_whole.text").alias("text"), shares["_passes"])
     units = F.filter(F.split(F.regexp_replace("text", "^[\\x20\\x09-\\x0D]+", ""), "(?<=[\\x20\\x09-\\x0D])(?=[^\\x20\\x09-\\x0D])"), lambda w: w != "")
     # a text is split once, not for each of its passes and runs
     taken = lambda u, runs: F.array_join(F.flatten(F.transform(runs, lambda r: F.slice(u, (r["first"] + 1).cast("int"), r["words"].cast("int")))), "")
     texts = let(units, lambda u: F.transform("_passes", lambda runs: taken(u, runs)))
-    out = met.withColumn("text", F.explode(texts))
+    out = met.select("_whole", F.explode(texts).alias("text"))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new.get(c, F.col(f"_whole.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

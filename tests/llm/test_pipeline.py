@@ -37,3 +37,31 @@ def test_near_copies_with_null_and_repeated_ids(spark):
     for g in groups:
         least = min((i for i, _ in g if i is not None), default=None)
         assert sum(row in got and row[0] == least for row in set(g)) == 1
+
+
+def test_stages_with_clashing_columns_and_written_results(spark, tmp_path):
+    """Each stage's result is written before the next one starts, so helper tables go; extra columns stay what they are."""
+    extra = ["tie", "spans", "_text", "_row", "_id", "node", "n", "bands", "key", "_whole", "_copy", "part"]
+    passage = " ".join(f"p{i}" for i in range(51))
+    texts = [f"{i} " + " ".join(f"t{i}x{j}" for j in range(60)) + (f" {passage} end{i}" if i < 4 else "") for i in range(12)]
+    rows = [(i, t, "en", f"s{i % 2}", len(t), *[f"{c}{i}" for c in extra]) for i, t in enumerate(texts)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra)
+    docs = spark.createDataFrame(rows, schema)
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        got = docs.collect()
+        assert got
+        if k < 4:
+            assert docs.columns == schema.replace(" long", "").replace(" string", "").split(", ")
+            assert all(r[c] == f"{c}{r['doc_id']}" for r in got for c in extra)
+        if k in (2, 3):
+            assert not any("p7 p8" in r["text"] for r in got)
+            assert k == 3 or {r["doc_id"]: r["text"] for r in got}[9] == texts[9]
+
+
+def test_empty_table_passes_all_stages(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.count() == 0
