@@ -24,8 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fieldgrain.llm.common import documents, text_of
 
-#: Words that a worker remembers.
+#: Words that a worker remembers, and the longest of them in bytes: a bound on memory, not on what is encoded.
 REMEMBERED = 1_000_000
+LONGEST = 64
 #: Code points that are segmented together.
 GROUP_CHARS = 1_000_000
 SPACE, LETTER, NUMBER, OTHER = range(4)
@@ -384,11 +385,14 @@ class ByteBpe:
         new: set[bytes] = set()
         for w in words:
             new.update(w)
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self.known = {}
         self.learn([w for w in new if w not in self.known])
         know = self.known.__getitem__
         coded = [b"".join(map(know, w)) for w in words]
+        for w in new:
+            if len(w) > LONGEST:
+                del self.known[w]
         made = [b"".join(coded[s] if s >= 0 else np.array([-1 - s], self.width).tobytes() for s in steps) for steps in plan]
         return [np.frombuffer(m, self.width) for m in made]
 
@@ -409,12 +413,13 @@ def coder(name: str) -> ByteBpe:
     return _coders[name]
 
 
-def encode_and_decode(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
-    """Every document's doc_id, n_tokens, ids_sha256, decoded_sha256."""
+def encode_and_decode(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", remembered: int = REMEMBERED) -> DataFrame:
+    """Every document's doc_id, n_tokens, ids_sha256, decoded_sha256. A worker remembers so many words."""
     rows = docs.select("doc_id", text_of().alias("text"))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(vocabulary)
+        bpe.remembered = remembered
         digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
             counts, listed, decoded = [], [], []

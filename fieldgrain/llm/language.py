@@ -7,7 +7,7 @@ least loss, where a bit's exponential loss counts by how well its classifier sep
 prediction whose two best codewords are closer than ``ambiguous`` is flagged.
 
 The n-gram counts are sums over all training documents; only the model, ``buckets`` numbers a language, comes to the
-driver. At most ``MOST_LANGUAGES`` languages are learned, the most frequent ones: a bound on the model, stated here.
+driver. Every language of the training rows is learned.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; without training rows every text is
 ``und``; ties go to the language that sorts first; ids that are null or repeat are rows like others (a null id is not
@@ -25,7 +25,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from fieldgrain.llm.common import documents
 
 BUCKETS = 1 << 14
-MOST_LANGUAGES = 256
 GROUP_BYTES = 1 << 20
 UNKNOWN = "und"
 
@@ -126,8 +125,7 @@ class Model:
 
 def train(docs: DataFrame, buckets: int = BUCKETS, ambiguous: float = 0.02) -> Model:
     counts = count_grams(docs, buckets)
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("all")).orderBy(F.col("all").desc(), "lang").limit(MOST_LANGUAGES)
-    lists = counts.join(totals, "lang").groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("c")).collect()
+    lists = counts.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("c")).collect()  # at most ``buckets`` a language
     table = {r["lang"]: r["c"] for r in lists}
     languages = sorted(table)
     matrix = np.zeros((len(languages), buckets))

@@ -43,7 +43,7 @@ NO_ID = -(1 << 63)
 PASSAGE_WORDS = 50
 PASSAGE_ANCHOR_WORDS = 10
 WORD_BYTES = 4
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 200_000
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 FRAGMENT = ["anchor", "fragment", "offset", "span"]
 
