@@ -21,6 +21,9 @@ from fieldgrain.llm.mixing import mixed_texts
 from fieldgrain.llm.near_dups import near_classes
 from fieldgrain.llm.repeats import removed_passages
 
+#: Words that a worker keeps from the last stage on: workers serve all stages, so what one remembers the others lack.
+REMEMBERED = 200_000
+
 
 def whole_of(docs: DataFrame):
     """All columns in a struct, out of reach of the names that a stage uses."""
@@ -63,7 +66,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the mixed documents' ids and decoded texts."""
     sweep(docs)
-    return encode_and_decode(docs)
+    return encode_and_decode(docs, remembered=REMEMBERED)
 
 
 STAGES = [
