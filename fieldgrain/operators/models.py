@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fieldgrain.functions.semantics import clip, finite, null_safe_join, ratio, require_columns
 from fieldgrain.operators.order_stats import percentiles
+from fieldgrain.operators.registry import leaking_predictors
 
 CLIP_RANGE = (0.001, 0.999)
 
@@ -194,6 +195,10 @@ def usable(predictors: Sequence[str]) -> Column:
 
 
 def fit(rows: DataFrame, kind: str, predictors: Sequence[str], target: str, *, penalty: float = 1.0, **options):
+    """Fit on the usable rows. Predictors that would leak the truth stop the fit before any job runs."""
+    leaking = leaking_predictors(predictors)
+    if leaking:
+        raise ValueError(f"predictors that leak the truth: {', '.join(leaking)}")
     train = rows.where(usable([*predictors, target]))
     if kind == "ridge":
         return RidgeModel.fit(train, predictors, target, penalty)
@@ -207,10 +212,15 @@ def score(rows: DataFrame, model, out: str = "q_pred", limits: tuple[float, floa
     return scored.select(*keep, clip("prediction", *limits).alias(out))
 
 
-def score_valid(rows: DataFrame, model, predictors: Sequence[str], key: str = "example_id", out: str = "q_pred") -> DataFrame:
-    """Score only rows whose predictors are all usable; the others get NULL and ``prediction_valid`` false."""
-    scored = score(rows.where(usable(predictors)), model, out).select(key, out)
-    return rows.join(scored, key, "left").withColumn("prediction_valid", F.col(out).isNotNull())
+def score_valid(rows: DataFrame, model, predictors: Sequence[str], out: str = "q_pred") -> DataFrame:
+    """Score every row in place; those with an unusable predictor get NULL and ``prediction_valid`` false."""
+    good = usable(predictors)
+    kept = {p: F.col(p).alias(f"_kept_{p}") for p in predictors}
+    # the model sees zeros for what is missing, and its answer for such a row is dropped
+    filled = rows.select(*rows.columns, *kept.values(), good.alias("_good")).withColumns({p: F.coalesce(finite(p), F.lit(0.0)) for p in predictors})
+    scored = score(filled, model, out).withColumn(out, F.when(F.col("_good"), F.col(out)))
+    back = [F.col(f"_kept_{c}").alias(c) if c in kept else F.col(c) for c in rows.columns if c != out]
+    return scored.select(*back, out, F.col("_good").alias("prediction_valid"))
 
 
 def out_of_fold(rows: DataFrame, kind: str, predictors: Sequence[str], target: str, folds: int, *, seed: int = 1, **options):

@@ -218,7 +218,7 @@ def best_strategies(spark, sf_dir):
 
 # --- fits without SQL counterpart ---------------------------------------------------------------------------
 
-PREDICTORS = ["campaign_frequency_hz", "campaign_size", "campaign_direction_count", "cs_pred_m_s"]
+PREDICTORS = ["campaign_frequency_hz", "campaign_size", "cs_pred_m_s"]
 
 
 def _training(spark, sf_dir):
