@@ -6,11 +6,11 @@ import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
-from fieldgrain.operators import coverage as cov, studies as st
+from fieldgrain.operators import coverage as cov, risk as rk, studies as st
 from fieldgrain.plans.catalog import query, rounded
 from fieldgrain.plans.coverage import DEFICITS_SQL, GRID, MINIMA, assigned
 from fieldgrain.plans.frames import PREDICTIONS_SQL, predictions, table
-from fieldgrain.session import ensure_checkpoint_dir
+from fieldgrain.session import cut_lineage, ensure_checkpoint_dir
 from fieldgrain.streaming import incremental as inc
 
 PREDICTORS = ["campaign_frequency_hz", "campaign_size"]
@@ -103,3 +103,131 @@ def stream_ledger(spark, sf_dir):
         inc.write_batches(inc.ledger_once(stream), f"{folder}/ledger", f"{folder}/state", mode="append").awaitTermination()
     taken = spark.read.parquet(f"{folder}/ledger")
     return cov.distinct_counts(taken, ["status"], {"condition_count": "condition_id"}, "run_count")
+
+
+# --- risk mask and gates --------------------------------------------------------------------------------------
+
+_FOLDED_SQL = f"""{PREDICTIONS_SQL},
+rows_ AS (SELECT *, CASE WHEN partition = 'train' THEN CAST(campaign_run_id AS BIGINT) % 5 END AS cv_fold,
+    CAST(floor(ln(cs_pred_m_s) * 4) AS BIGINT) AS speed_band, CAST(floor(campaign_frequency_hz / 10) AS BIGINT) AS frequency_band,
+    row_number() OVER () AS row_key FROM predictions WHERE cs_pred_m_s > 0)"""
+
+
+def _folded(spark, sf_dir) -> DataFrame:
+    """Predictions with the training rows' fold (by run, so that no run is in two) and two feature bands."""
+    rows = predictions(spark, sf_dir).where("cs_pred_m_s > 0")
+    return rows.withColumns({
+        "cv_fold": F.when(F.col("partition") == "train", F.col("campaign_run_id").cast("long") % 5),
+        "speed_band": F.floor(F.log("cs_pred_m_s") * 4),
+        "frequency_band": F.floor(F.col("campaign_frequency_hz") / 10),
+    })
+
+
+_RISK_SQL = f"""{_FOLDED_SQL},
+h AS (SELECT *, CAST(cs_absolute_error_percent > 20 AS INTEGER) AS high FROM rows_),
+c AS (SELECT speed_band, frequency_band, sum(high) AS s, count(*) AS n FROM h WHERE cv_fold IS NOT NULL GROUP BY ALL),
+f AS (SELECT speed_band, frequency_band, cv_fold, sum(high) AS fs, count(*) AS fn FROM h WHERE cv_fold IS NOT NULL GROUP BY ALL),
+t AS (SELECT sum(s) / CAST(sum(n) AS DOUBLE) AS m FROM c),
+risk AS (SELECT partition, cs_absolute_error_percent AS err, high,
+    (coalesce(s, 0) - coalesce(fs, 0) + 20.0::DOUBLE * m) / (coalesce(n, 0) - coalesce(fn, 0) + 20.0::DOUBLE) AS risk
+  FROM h LEFT JOIN c USING (speed_band, frequency_band) LEFT JOIN f USING (speed_band, frequency_band, cv_fold), t)"""
+
+THRESHOLDS = [0.2, 0.5, 0.8]
+EDGES = [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]
+
+
+def _risk(spark, sf_dir) -> DataFrame:
+    rows = _folded(spark, sf_dir).withColumn("high", (F.col("cs_absolute_error_percent") > 20).cast("int"))
+    return rk.cell_means(rows, ["speed_band", "frequency_band"], {"risk": "high"})
+
+
+@query(
+    "risk_thresholds",
+    "M22",
+    f"""WITH {_RISK_SQL}, x AS (SELECT *, risk >= risk_threshold AS low FROM risk, (VALUES (0.2::DOUBLE), (0.5::DOUBLE), (0.8::DOUBLE)) AS v(risk_threshold))
+    SELECT partition, risk_threshold, CAST(count(*) AS BIGINT) AS "N", round(100.0::DOUBLE * avg(CAST(low AS INTEGER)), 6) AS low_confidence_pct,
+      round(avg(err) FILTER (NOT low), 6) AS MAPE_high_confidence, round(avg(err) FILTER (low), 6) AS MAPE_low_confidence,
+      round(100.0::DOUBLE * avg(high) FILTER (NOT low), 6) AS high20_rate_high_confidence, round(100.0::DOUBLE * avg(high) FILTER (low), 6) AS precision_high20_pct,
+      round(100.0::DOUBLE * sum(high) FILTER (low) / sum(high), 6) AS recall_high20_pct FROM x GROUP BY 1, 2""",
+)
+def risk_thresholds(spark, sf_dir):
+    counts = rk.risk_counts(_risk(spark, sf_dir), "partition", "risk", "cs_absolute_error_percent")
+    return rounded(rk.risk_thresholds(counts, "partition", "risk", THRESHOLDS))
+
+
+@query(
+    "risk_calibration",
+    "M22",
+    f"""WITH {_RISK_SQL} SELECT partition, CASE WHEN risk >= 0.8 THEN 0.8::DOUBLE WHEN risk >= 0.6 THEN 0.6::DOUBLE WHEN risk >= 0.4 THEN 0.4::DOUBLE
+        WHEN risk >= 0.2 THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END AS risk_bin_low, CAST(count(*) AS BIGINT) AS "N", round(avg(risk), 6) AS mean_predicted_risk,
+      round(100.0::DOUBLE * avg(high), 6) AS observed_high20_rate_pct, round(avg(err), 6) AS MAPE_pct FROM risk GROUP BY 1, 2""",
+)
+def risk_calibration(spark, sf_dir):
+    counts = rk.risk_counts(_risk(spark, sf_dir), "partition", "risk", "cs_absolute_error_percent")
+    return rounded(rk.risk_calibration(counts, "partition", "risk", EDGES))
+
+
+@query(
+    "risk_areas",
+    "M22",
+    f"""WITH {_RISK_SQL}, r AS (SELECT partition, high, rank() OVER (PARTITION BY partition ORDER BY risk) + (count(*) OVER (PARTITION BY partition, risk) - 1) / 2.0::DOUBLE AS k FROM risk)
+    SELECT partition, CAST(sum(high) AS BIGINT) AS positives, CAST(sum(1 - high) AS BIGINT) AS negatives,
+      round((sum(k) FILTER (high = 1) - sum(high) * (sum(high) + 1) / 2.0::DOUBLE) / (CAST(sum(high) AS DOUBLE) * sum(1 - high)), 6) AS roc_auc FROM r GROUP BY 1""",
+)
+def risk_areas(spark, sf_dir):
+    return rounded(rk.risk_areas(_risk(spark, sf_dir), "partition", "risk", "cs_absolute_error_percent").select("partition", "positives", "negatives", "roc_auc"))
+
+
+GAINS, HARMS = [0.0, 1.0, 2.0, 5.0], [0.1, 0.2, 0.35, 0.5]
+
+_GATE_SQL = f"""{_FOLDED_SQL},
+e AS (SELECT *, 100.0::DOUBLE * abs(cs_pred_m_s - cs_true_m_s) / cs_true_m_s AS base_error FROM rows_),
+k AS (SELECT *, 'lift' AS candidate, 100.0::DOUBLE * abs(1.25::DOUBLE * cs_pred_m_s - cs_true_m_s) / cs_true_m_s AS candidate_error FROM e
+  UNION ALL SELECT *, 'lower', 100.0::DOUBLE * abs(0.8::DOUBLE * cs_pred_m_s - cs_true_m_s) / cs_true_m_s FROM e),
+g AS (SELECT *, base_error - candidate_error AS gain, CAST(candidate_error > base_error + 0.5::DOUBLE AS INTEGER) AS harm FROM k),
+c AS (SELECT candidate, speed_band, frequency_band, sum(gain) AS gs, sum(harm) AS hs, count(*) AS n FROM g WHERE cv_fold IS NOT NULL GROUP BY ALL),
+f AS (SELECT candidate, speed_band, frequency_band, cv_fold, sum(gain) AS fgs, sum(harm) AS fhs, count(*) AS fn FROM g WHERE cv_fold IS NOT NULL GROUP BY ALL),
+t AS (SELECT sum(gs) / sum(n) AS gm, sum(hs) / CAST(sum(n) AS DOUBLE) AS hm FROM c),
+scored AS (SELECT g.*, (coalesce(gs, 0) - coalesce(fgs, 0) + 20.0::DOUBLE * gm) / (coalesce(n, 0) - coalesce(fn, 0) + 20.0::DOUBLE) AS eg,
+    (coalesce(hs, 0) - coalesce(fhs, 0) + 20.0::DOUBLE * hm) / (coalesce(n, 0) - coalesce(fn, 0) + 20.0::DOUBLE) AS hp
+  FROM g LEFT JOIN c USING (candidate, speed_band, frequency_band) LEFT JOIN f USING (candidate, speed_band, frequency_band, cv_fold), t),
+tried AS (SELECT candidate, min_gain, max_harm, count(*) AS accepted, sum(gain) AS total_gain, 100.0::DOUBLE * sum(harm) / count(*) AS harm_pct
+  FROM scored, (VALUES (0.0::DOUBLE), (1.0::DOUBLE), (2.0::DOUBLE), (5.0::DOUBLE)) AS a(min_gain), (VALUES (0.1::DOUBLE), (0.2::DOUBLE), (0.35::DOUBLE), (0.5::DOUBLE)) AS b(max_harm)
+  WHERE cv_fold IS NOT NULL AND eg >= min_gain AND hp <= max_harm GROUP BY ALL HAVING 100.0::DOUBLE * sum(harm) / count(*) <= 25),
+choice AS (SELECT * FROM tried QUALIFY row_number() OVER (PARTITION BY candidate ORDER BY round(total_gain, 6) DESC, min_gain DESC, max_harm) = 1)"""
+
+
+def _scored_candidates(spark, sf_dir) -> DataFrame:
+    # rows get a key once: the table's example ids repeat
+    rows = cut_lineage(_folded(spark, sf_dir).withColumn("row_key", F.monotonically_increasing_id()))
+    speed = F.col("cs_pred_m_s")
+    pool = rk.candidate_rows(rows, {"lift": 1.25 * speed, "lower": 0.8 * speed}, "cs_true_m_s", "cs_pred_m_s", harm_margin=0.5)
+    return cut_lineage(rk.cell_means(pool, ["candidate", "speed_band", "frequency_band"], {"expected_gain": "gain", "harm_probability": "harm"}))
+
+
+@query(
+    "gate_thresholds",
+    "M12",
+    f"""WITH {_GATE_SQL} SELECT candidate, min_gain, max_harm, CAST(accepted AS BIGINT) AS accepted, round(total_gain, 3) AS total_gain, round(harm_pct, 6) AS harm_pct FROM choice""",
+)
+def gate_thresholds(spark, sf_dir):
+    """Thresholds on learned gain and harm, chosen on the joint counts of out-of-fold scores under a harm limit."""
+    return rounded(rk.gate_choice(_scored_candidates(spark, sf_dir), GAINS, HARMS, most_harm_pct=25.0), total_gain=3)
+
+
+@query(
+    "gated_corrections",
+    "M12 G50",
+    f"""WITH {_GATE_SQL}, b AS (SELECT row_key, partition, any_value(base_error) AS base_error,
+        max({{'score': eg - 10.0::DOUBLE * hp, 'candidate': s.candidate, 'e': candidate_error, 'h': harm}}) FILTER (eg >= min_gain AND hp <= max_harm) AS best
+      FROM scored s LEFT JOIN choice c ON s.candidate = c.candidate GROUP BY 1, 2)
+    SELECT partition, coalesce(best.candidate, 'base') AS chosen, CAST(count(*) AS BIGINT) AS "N", round(avg(base_error), 6) AS base_mape,
+      round(avg(coalesce(best.e, base_error)), 6) AS gated_mape, round(100.0::DOUBLE * avg(coalesce(best.h, 0)), 6) AS harmed_pct FROM b GROUP BY 1, 2""",
+)
+def gated_corrections(spark, sf_dir):
+    scored = _scored_candidates(spark, sf_dir)
+    choice = rk.gate_choice(scored, GAINS, HARMS, most_harm_pct=25.0)
+    out = rk.gated(scored, choice, ["row_key", "partition"], harm_penalty=10.0)
+    return rounded(out.groupBy("partition", "chosen").agg(
+        F.count(F.lit(1)).alias("N"), F.avg("base_error").alias("base_mape"), F.avg("chosen_error").alias("gated_mape"), (100 * F.avg("harmed")).alias("harmed_pct"),
+    ))
