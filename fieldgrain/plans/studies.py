@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
-from fieldgrain.operators import coverage as cov, risk as rk, studies as st
+from fieldgrain.operators import coverage as cov, risk as rk, studies as st, tiles as tl
 from fieldgrain.plans.catalog import query, rounded
 from fieldgrain.plans.coverage import DEFICITS_SQL, GRID, MINIMA, assigned
 from fieldgrain.plans.frames import PREDICTIONS_SQL, predictions, table
@@ -231,3 +231,61 @@ def gated_corrections(spark, sf_dir):
     return rounded(out.groupBy("partition", "chosen").agg(
         F.count(F.lit(1)).alias("N"), F.avg("base_error").alias("base_mape"), F.avg("chosen_error").alias("gated_mape"), (100 * F.avg("harmed")).alias("harmed_pct"),
     ))
+
+
+# --- centres from pixels --------------------------------------------------------------------------------------
+
+WINDOW, STEP = 7, 2
+_MAP_GRID = cov.CoverageGrid(
+    sws_edges=(1.5, 2.5, 3.5, 4.5), frequency_edges=(100, 300, 600), purity_edges=(0.5, 0.6, 0.7, 1.0), diffusivity_edges=(0, 1), pairs_m=((5e-4, 5e-4),),
+)
+
+#: Maps of 64 columns, a vector a row: the sign of a component is the material, its size the speed.
+_MAP_SQL = """image AS (SELECT CAST(vec_id // 64 AS BIGINT) AS sample_id, CAST(vec_id % 64 AS INTEGER) AS iz, CAST(i - 1 AS INTEGER) AS ix,
+    embedding[i]::DOUBLE AS v, label FROM embeddings, range(1, 65) t(i)),
+pixels AS (SELECT sample_id, iz, ix, 1.5::DOUBLE + 3.0::DOUBLE * (1 - exp(-abs(v))) AS cs_true, CASE WHEN v > 0 THEN 1 ELSE 2 END AS material_id, abs(v) > 0.004::DOUBLE AS valid FROM image),
+bounds AS (SELECT sample_id, min(iz) AS z0, max(iz) AS z1, min(ix) AS x0, max(ix) AS x1 FROM pixels GROUP BY 1),
+centres AS (SELECT sample_id, iz AS cz, ix AS cx, cs_true FROM pixels JOIN bounds USING (sample_id)
+  WHERE iz BETWEEN z0 + 3 AND z1 - 3 AND ix BETWEEN x0 + 3 AND x1 - 3 AND (iz - z0 - 3) % 2 = 0 AND (ix - x0 - 3) % 2 = 0),
+near AS (SELECT c.sample_id, c.cz, c.cx, any_value(c.cs_true) AS cs, count(*) FILTER (p.valid) AS n, count(*) FILTER (p.valid AND material_id = 1) AS a
+  FROM centres c JOIN pixels p ON p.sample_id = c.sample_id AND p.iz BETWEEN c.cz - 3 AND c.cz + 3 AND p.ix BETWEEN c.cx - 3 AND c.cx + 3 GROUP BY ALL),
+windows AS (SELECT *, n / 49.0::DOUBLE AS valid_fraction, CASE WHEN n > 0 THEN greatest(a, n - a) / CAST(n AS DOUBLE) END AS purity FROM near)"""
+
+
+def map_pixels(spark, sf_dir) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    cells = rows.select(F.floor(F.col("vec_id") / 64).alias("sample_id"), (F.col("vec_id") % 64).cast("int").alias("iz"), F.posexplode("embedding").alias("ix", "v"))
+    v = F.col("v").cast("double")
+    return cells.select(
+        "sample_id", "iz", "ix", (F.lit(1.5) + F.lit(3.0) * (1 - F.exp(-F.abs(v)))).alias("cs_true"),
+        F.when(v > 0, 1).otherwise(2).alias("material_id"), (F.abs(v) > 0.004).alias("valid"),
+    )
+
+
+@query(
+    "window_truth",
+    "T7 K2",
+    f"""WITH {_MAP_SQL} SELECT sample_id, cz, cx, round(cs, 6) AS truth_cs_center_m_s, round(valid_fraction, 6) AS truth_valid_fraction,
+      round(purity, 6) AS truth_material_purity FROM windows""",
+)
+def window_truth(spark, sf_dir):
+    """Speed, valid fraction and purity of every candidate window, from summed-area tables on tiles with a rim."""
+    return rounded(tl.window_truth(map_pixels(spark, sf_dir), WINDOW, step=STEP, tile=24))
+
+
+@query(
+    "center_outcomes",
+    "T7 T8",
+    f"""WITH {_MAP_SQL}, o AS (SELECT sample_id, CASE WHEN NOT (cs BETWEEN 1.5 AND 4.5 AND purity BETWEEN 0.5 AND 1.0) OR purity IS NULL THEN 'out_of_range'
+        WHEN valid_fraction < 0.95::DOUBLE THEN 'too_few_valid' ELSE 'eligible' END AS outcome,
+        CASE WHEN cs < 2.5 THEN 1 WHEN cs < 3.5 THEN 2 ELSE 3 END AS s, CASE WHEN purity < 0.6::DOUBLE THEN 1 WHEN purity < 0.7::DOUBLE THEN 2 ELSE 3 END AS p FROM windows)
+    SELECT sample_id, outcome, CASE WHEN outcome <> 'out_of_range' THEN format('s{{:02d}}_f01_p{{:02d}}_d01_g01', s, p) ELSE 'out_of_range' END AS cell_key,
+      CAST(count(*) AS BIGINT) AS candidate_count FROM o GROUP BY ALL""",
+)
+def center_outcomes(spark, sf_dir):
+    """What becomes of the candidates of every map, by coverage cell; the counts add up to the candidates."""
+    windows = tl.window_truth(map_pixels(spark, sf_dir), WINDOW, step=STEP, tile=24)
+    constant = {"campaign_frequency_hz": 200.0, "campaign_angular_entropy": 0.5, "GRID_dx_m": 5e-4, "GRID_dz_m": 5e-4}
+    windows = windows.withColumns({c: F.lit(v) for c, v in constant.items()})
+    found = tl.center_candidates(windows, _MAP_GRID, minimum_valid=0.95)
+    return found.groupBy("sample_id", "outcome", F.col("coverage_cell_key").alias("cell_key")).agg(F.count(F.lit(1)).alias("candidate_count"))
