@@ -32,6 +32,17 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
 _HELPERS: list[str] = []
 
 
+#: Texts handed to Python at once; whole texts are long, and a batch stands in memory on both sides.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches hold at most so many rows: this bounds memory for texts, not what is read."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of DataFrames that nobody holds any more; it does so after collecting garbage."""
     gc.collect()

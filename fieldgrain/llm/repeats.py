@@ -100,15 +100,18 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(text).alias("_hash"), text.cast("binary").alias("_bytes"))
 
 
-def all_fragments(rows: DataFrame, length: int, anchor_bytes: int = ANCHOR) -> DataFrame:
+def all_fragments(rows: DataFrame, length: int, anchor_bytes: int = ANCHOR, code: Callable[[], Callable[[bytes], bytes]] | None = None) -> DataFrame:
+    """The fragments of ``_bytes``, or of what a function made by ``code`` turns it into, in the same Python call."""
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["_id", "_hash", "first", "last", "offset", "anchor", "fragment"]
+        coded = code() if code else bytes
         for batch in batches:
             ids, hashes = batch.column("_id").to_numpy(), batch.column("_hash").to_numpy()
             group, start, size = [], 0, 0
             for i, text in enumerate([*batch.column("_bytes"), None]):
                 if text is not None:
-                    group.append(text.as_py())
+                    group.append(coded(text.as_py()))
                     size += len(group[-1])
                 if group and (text is None or size > GROUP_BYTES):
                     at, first, last, offset, anchor, fragment = fragments_of(group, length, anchor_bytes)
@@ -160,10 +163,10 @@ def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
             yield pa.RecordBatch.from_arrays(arrays, [*FRAGMENT, "low", "place", "value", "owner"])
 
 
-def spans_of(rows: DataFrame, length: int, hot: int = HOT, anchor: int = ANCHOR, across: bool = False) -> DataFrame:
+def spans_of(rows: DataFrame, length: int, hot: int = HOT, anchor: int = ANCHOR, across: bool = False, code: Callable[[], Callable[[bytes], bytes]] | None = None) -> DataFrame:
     """_id, _hash, spans: the stretches (start, end) of ``_bytes`` that repeated strings cover. With ``across`` only
-    strings that stand in another document (_id, _hash) count."""
-    found = written(all_fragments(rows, length, anchor), "fragments")
+    strings that stand in another document (_id, _hash) count; with ``code`` the strings are those of the coded bytes."""
+    found = written(all_fragments(rows, length, anchor, code), "fragments")
     document = F.xxhash64("_id", "_hash")
     owners = [F.min(document).alias("owner"), F.max(document).alias("other")]
     classes = found.groupBy(*FRAGMENT).agg(F.count("*").alias("n"), F.min("_row").alias("_row"), *owners)
@@ -174,7 +177,7 @@ def spans_of(rows: DataFrame, length: int, hot: int = HOT, anchor: int = ANCHOR,
     # one place of each fragment of an anchor with several, to fetch its bytes
     heads = classes.where("kinds > 1").select(*FRAGMENT, "kinds", "owner", "_row").join(found.select("_row", "_id", "_hash", "first", "last"), "_row").drop("_row")
     piece = F.expr(f"substring(_bytes, first + 1, last - first + {length})")
-    once = rows.select("_id", "_hash", "_bytes")
+    once = _coded(rows, code) if code else rows.select("_id", "_hash", "_bytes")
     pieces = written(heads.join(once, ["_id", "_hash"]).select(*FRAGMENT, "kinds", "owner", piece.alias("piece")).dropDuplicates(FRAGMENT), "pieces")
     kinds = "anchor long, fragment long, offset int, span int, low int, high int"
     gathered = pieces.where(F.col("kinds") <= hot)
@@ -261,23 +264,29 @@ def removed_text(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataF
     return _cut(docs, rows.drop("_bytes"), spans_of(rows.drop("_whole"), length, hot), kept_bytes)
 
 
-def word_strings(rows: DataFrame) -> DataFrame:
-    """``_bytes`` replaced by the hashes of its words, four bytes each."""
-
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, bytes] = {}
+def _coded(rows: DataFrame, code: Callable[[], Callable[[bytes], bytes]]) -> DataFrame:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coded = code()
         for batch in batches:
-            out = []
-            for text in batch.column("_bytes"):
-                words = text.as_py().split()
-                if len(known) > KNOWN_WORDS:
-                    known.clear()
-                for w in set(words).difference(known):
-                    known[w] = hashlib.blake2b(w, digest_size=WORD_BYTES).digest()
-                out.append(b"".join([known[w] for w in words]))
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_hash"), pa.array(out, pa.binary())], ["_id", "_hash", "_bytes"])
+            out = pa.array([coded(text.as_py()) for text in batch.column("_bytes")], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_hash"), out], ["_id", "_hash", "_bytes"])
+
+    return rows.select("_id", "_hash", "_bytes").mapInArrow(each, "_id long, _hash long, _bytes binary")
+
+
+def word_coder() -> Callable[[bytes], bytes]:
+    """Function from a text to the hashes of its words, four bytes each; it remembers words."""
+    known: dict[bytes, bytes] = {}
+
+    def coded(text: bytes) -> bytes:
+        words = text.split()
+        if len(known) > KNOWN_WORDS:
+            known.clear()
+        for w in set(words).difference(known):
+            known[w] = hashlib.blake2b(w, digest_size=WORD_BYTES).digest()
+        return b"".join([known[w] for w in words])
 
-    return rows.select("_id", "_hash", "_bytes").mapInArrow(code, "_id long, _hash long, _bytes binary")
+    return coded
 
 
 def without_words(text: bytes, runs: list[tuple[int, int]]) -> bytes:
@@ -289,7 +298,7 @@ def without_words(text: bytes, runs: list[tuple[int, int]]) -> bytes:
 def removed_passages(docs: DataFrame, words: int = PASSAGE_WORDS, hot: int = HOT) -> DataFrame:
     """The documents without the passages of ``words`` words or more that stand in another document too."""
     rows = _wrapped(docs)
-    spans = spans_of(word_strings(rows), words * WORD_BYTES, hot, PASSAGE_ANCHOR_WORDS * WORD_BYTES, across=True)
+    spans = spans_of(rows.drop("_whole"), words * WORD_BYTES, hot, PASSAGE_ANCHOR_WORDS * WORD_BYTES, across=True, code=word_coder)
     return _cut(docs, rows.drop("_bytes"), spans, without_words)
 
 
