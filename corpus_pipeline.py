@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fieldgrain.llm.byte_bpe import encode_and_decode
-from fieldgrain.llm.common import documents, sweep, written
+from fieldgrain.llm.common import documents, small_batches, sweep, written
 from fieldgrain.llm.language import UNKNOWN, predicted, train
 from fieldgrain.llm.mixing import mixed_texts
 from fieldgrain.llm.near_dups import near_classes
@@ -32,6 +32,7 @@ def whole_of(docs: DataFrame):
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a predicted language."""
+    small_batches(spark)
     marked = docs.select(whole_of(docs), "text")
     found = predicted(marked, train(docs), ["_whole"])
     return found.where(F.col("lang_pred") != UNKNOWN).select("_whole.*")
