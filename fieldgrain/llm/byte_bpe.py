@@ -142,6 +142,7 @@ class ByteBpe:
         self.classes = code_point_classes()
         self.width = np.uint16 if self.size <= 0x10000 else np.uint32
         self.known: dict[bytes, bytes] = {}
+        self.remembered = REMEMBERED
         self.exact = 0  # words that speculation got wrong
 
     # --- words -----------------------------------------------------------------------------------------------------
