@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -23,7 +23,8 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=compression)
+    with shuffles_freed(spark):
+        df.write.parquet(path, compression=compression)
     _HELPERS.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -43,10 +44,16 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of DataFrames that nobody holds any more; it does so after collecting garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Let Spark delete the shuffle files of each query run inside as soon as the query has ended."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def sweep(docs: DataFrame) -> None:
@@ -61,7 +68,6 @@ def sweep(docs: DataFrame) -> None:
             folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
             _HELPERS.remove(path)
-    free_shuffles(spark)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fieldgrain.llm.byte_bpe import coder
-from fieldgrain.llm.common import documents, free_shuffles, order_key, text_of, written
+from fieldgrain.llm.common import documents, order_key, shuffles_freed, text_of, written
 from fieldgrain.session import ensure_checkpoint_dir
 
 LENGTH = 512
@@ -91,7 +91,6 @@ def materialise(docs: DataFrame, path: str, length: int = LENGTH, shard_slots: i
     """Write the shards below ``path`` and return doc_id, part, n_tokens, slot, shard, offset, record_sha256."""
     spark = docs.sparkSession
     cut = written(sequences(docs, length, vocabulary), "sequences", compression="zstd")
-    free_shuffles(spark)  # the texts that were dealt out by range are not needed any more
     # one row per task of the first pass: ranges ascend, so a range starts where the ones before it end
     counts = cut.groupBy("range").agg(F.count("*").alias("n")).orderBy("range").collect()
     ends = list(accumulate((r["n"] for r in counts), initial=0))
@@ -110,7 +109,8 @@ def materialise(docs: DataFrame, path: str, length: int = LENGTH, shard_slots: i
     # a range of shards goes to one task, which writes them one after the other; records are padded as they are written
     dealt = placed.select("shard", "slot", "record").repartitionByRange(min(parts, 100_000), "shard").sortWithinPartitions("shard", "slot")
     line = F.rpad("record", F.lit(2 * length), F.lit(b"\0")).cast("string").alias("value")
-    dealt.select("shard", line).write.partitionBy("shard").option("lineSep", "\n").text(path)
+    with shuffles_freed(spark):
+        dealt.select("shard", line).write.partitionBy("shard").option("lineSep", "\n").text(path)
     # the digests come from the first pass: records are neither read nor dealt out for the result
     return placed.select("doc_id", "part", "n_tokens", "slot", "shard", (F.expr(f"slot % {shard_slots}") * stride(length)).alias("offset"), F.lower(F.hex("record_sha256")).alias("record_sha256"))
 
