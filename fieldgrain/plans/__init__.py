@@ -6,7 +6,7 @@ import importlib
 
 from fieldgrain.plans.catalog import QUERIES, Query
 
-MODULES = ["coverage", "metrics", "splits", "spectra", "patches", "association", "planning", "maps", "ledger", "models", "studies", "builds"]
+MODULES = ["coverage", "metrics", "splits", "spectra", "patches", "association", "planning", "maps", "ledger", "models", "studies", "builds", "training"]
 
 
 def load_queries() -> dict[str, Query]:
