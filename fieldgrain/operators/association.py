@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldgrain.functions.semantics import null_safe_join, ratio, share
 from fieldgrain.operators.metrics import _join, kendall, spearman
-from fieldgrain.operators.order_stats import is_large, percentiles, row_positions
+from fieldgrain.operators.order_stats import percentiles, row_positions
 from fieldgrain.session import cut_lineage
 
 
@@ -45,10 +45,9 @@ def association(rows: DataFrame, keys: Sequence[str], features: Sequence[str], t
         F.regr_r2("y", "x").alias("linear_R2"),
         F.sqrt(F.greatest(F.regr_syy("y", "x") - F.regr_slope("y", "x") * F.regr_sxy("y", "x"), F.lit(0.0)) / F.count(F.lit(1))).alias("linear_RMSE"),
     )
-    large = is_large(long, by)
-    parts = [base, spearman(long, by, "x", "y", "spearman_rho", large=large)]
+    parts = [base, spearman(long, by, "x", "y", "spearman_rho")]
     if with_kendall:
-        parts.append(kendall(long, by, "x", "y", "kendall_tau", large=large))
+        parts.append(kendall(long, by, "x", "y", "kendall_tau"))
     out = _join(parts, by)
     varied = (
         (F.col("n_valid") >= minimum) & (F.col("feature_max") > F.col("feature_min")) & (F.col("q_max") > F.col("q_min"))
@@ -87,8 +86,7 @@ def binned_trend(rows: DataFrame, keys: Sequence[str], features: Sequence[str],
         F.min("y").alias("q_min"),
         F.max("y").alias("q_max"),
     )
-    large = is_large(long, by)
-    medians = [percentiles(placed, cell, v, {n: 0.5}, large=large) for v, n in (("x", "feature_median"), ("y", "q_median"))]
+    medians = [percentiles(placed, cell, v, {n: 0.5}) for v, n in (("x", "feature_median"), ("y", "q_median"))]
     return _join([base, *medians], cell)
 
 
@@ -149,10 +147,10 @@ def evidence(assoc: DataFrame, *, minimum_n: int = 6, minimum_groups: int = 4, l
     )
 
 
-def quantile_bin(rows: DataFrame, keys: Sequence[str], value: str, bins: int, out: str, *, large: bool | None = None) -> DataFrame:
+def quantile_bin(rows: DataFrame, keys: Sequence[str], value: str, bins: int, out: str) -> DataFrame:
     """Bin of each row between exact quantile edges; the outer bins are open, repeated edges collapse."""
     points = {f"_e{i}": i / bins for i in range(1, bins)}
-    edges = percentiles(rows, keys, value, points, large=large)
+    edges = percentiles(rows, keys, value, points)
     edges = edges.select(*keys, F.array_distinct(F.array(*points)).alias("_edges"))
     joined = null_safe_join(rows, edges, keys, "left") if keys else rows.crossJoin(F.broadcast(edges))  # one row
     index = F.size(F.filter("_edges", lambda e: e <= F.col(value))) + 1
@@ -168,9 +166,8 @@ def mutual_information(rows: DataFrame, keys: Sequence[str], features: Sequence[
     """Discretised mutual information of each feature with the target over quantile bins."""
     by = [*keys, "feature_name"]
     long = long_features(rows, keys, features, target)
-    large = is_large(long, by)
-    placed = quantile_bin(long, by, "x", bins, "_xb", large=large)
-    placed = quantile_bin(placed, by, "y", bins, "_yb", large=large)
+    placed = quantile_bin(long, by, "x", bins, "_xb")
+    placed = quantile_bin(placed, by, "y", bins, "_yb")
     joint = placed.groupBy(*by, "_xb", "_yb").agg(F.count(F.lit(1)).alias("_n"))
     px = joint.groupBy(*by, "_xb").agg(F.sum("_n").alias("_nx"))
     py = joint.groupBy(*by, "_yb").agg(F.sum("_n").alias("_ny"))
@@ -210,8 +207,7 @@ def step_summary(rows: DataFrame, keys: Sequence[str], columns: Sequence[str]) -
             F.avg(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_std"), F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max"),
         ]
     parts = [rows.groupBy(*keys).agg(*aggs)]
-    large = is_large(rows, keys)
-    parts += [percentiles(rows, keys, c, {f"{c}_median": 0.5}, large=large) for c in columns]
+    parts += [percentiles(rows, keys, c, {f"{c}_median": 0.5}) for c in columns]
     return _join(parts, keys)
 
 

@@ -370,7 +370,7 @@ def two_centres(cells: DataFrame, value: str = "value", sweeps: int = 20) -> Dat
     for _ in range(sweeps):
         first = F.abs(F.col(value) - F.col("c1")) <= F.abs(F.col(value) - F.col("c2"))
         placed = rows.join(state, "map_id").withColumn("_first", first)
-        medians = percentiles(placed, ["map_id", "_first"], value, {"_m": 0.5}, large=None)
+        medians = percentiles(placed, ["map_id", "_first"], value, {"_m": 0.5})
         moved = medians.groupBy("map_id").agg(
             F.max(F.when(F.col("_first"), F.col("_m"))).alias("_m1"), F.max(F.when(~F.col("_first"), F.col("_m"))).alias("_m2")
         )

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from fieldgrain.functions.semantics import EPS, finite, null_safe_join, percent, ratio, require_columns, share
 from fieldgrain.operators.order_stats import (
     average_ranks,
-    is_large,
     percentiles,
     row_positions,
     running_totals,
@@ -148,9 +147,8 @@ def grouped_tables(rows: DataFrame, groupings: Mapping[str, Sequence[str]], extr
         F.avg("q_error").alias("q_bias"),
         *[c.alias(n) for n, c in speed_columns().items()],
     )
-    large = is_large(long, keys)
-    ranks = percentiles(long, keys, ABS_ERROR, {"sws_median_ape": 0.5, "sws_p90_ape": 0.9}, large=large)
-    return _join([base, percentiles(long, keys, "_aq", {"q_median_ae": 0.5}, large=large), ranks], keys)
+    ranks = percentiles(long, keys, ABS_ERROR, {"sws_median_ape": 0.5, "sws_p90_ape": 0.9})
+    return _join([base, percentiles(long, keys, "_aq", {"q_median_ae": 0.5}), ranks], keys)
 
 
 def external_metrics(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -296,19 +294,17 @@ def gain_vs_baseline(summary: DataFrame, keys: Sequence[str], variant: str, base
 
 
 def spearman(
-    rows: DataFrame, keys: Sequence[str], x: str, y: str, out: str = "spearman", *, large: bool | None = None
+    rows: DataFrame, keys: Sequence[str], x: str, y: str, out: str = "spearman"
 ) -> DataFrame:
     """Rank correlation from counted (x, y) pairs; tied values share their mean rank."""
     base = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     if not keys:
         base = base.withColumn("_all", F.lit(0))
     by = list(keys) or ["_all"]
-    if large is None:
-        large = is_large(base, by)
     counted = base.groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("_w"))
     weight = F.sum("_w")
-    cells = null_safe_join(counted, average_ranks(counted, by, x, "_rx", weight=weight, large=large), [*by, x])
-    cells = null_safe_join(cells, average_ranks(counted, by, y, "_ry", weight=weight, large=large), [*by, y])
+    cells = null_safe_join(counted, average_ranks(counted, by, x, "_rx", weight=weight), [*by, x])
+    cells = null_safe_join(cells, average_ranks(counted, by, y, "_ry", weight=weight), [*by, y])
     cells = null_safe_join(cells, counted.groupBy(*by).agg(weight.alias("_n")), by)
     dx, dy, w = F.col("_rx") - (F.col("_n") + 1) / 2.0, F.col("_ry") - (F.col("_n") + 1) / 2.0, F.col("_w")
     out_rows = cells.groupBy(*by).agg(
@@ -318,7 +314,7 @@ def spearman(
 
 
 def kendall(
-    rows: DataFrame, keys: Sequence[str], x: str, y: str, out: str = "kendall", *, large: bool | None = None
+    rows: DataFrame, keys: Sequence[str], x: str, y: str, out: str = "kendall"
 ) -> DataFrame:
     """Tau-b without comparing pairs of rows.
 
@@ -331,10 +327,8 @@ def kendall(
     both = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     base = both if keys else both.withColumn("_all", F.lit(0))
     by = keys or ["_all"]
-    if large is None:
-        large = is_large(base, by)
     cells = base.groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("_w"))
-    dense = running_totals(cells.select(*by, x).distinct(), by, x, large=large).select(*by, x, (F.col("n_upto") - 1).alias("_rank"), F.col("n_total").alias("_levels"))
+    dense = running_totals(cells.select(*by, x).distinct(), by, x).select(*by, x, (F.col("n_upto") - 1).alias("_rank"), F.col("n_total").alias("_levels"))
     placed = null_safe_join(cells, dense, [*by, x])
     bits = F.ceil(F.log2(F.greatest(F.col("_levels"), F.lit(2)).cast("double"))).cast("int")
     long = (
@@ -348,7 +342,7 @@ def kendall(
         )
         .where(F.col(y).isNotNull())
     )
-    ordered = running_totals(long, [*by, "_bit", "_block"], y, {"hi": F.sum("_hi"), "lo": F.sum("_lo")}, large=large)
+    ordered = running_totals(long, [*by, "_bit", "_block"], y, {"hi": F.sum("_hi"), "lo": F.sum("_lo")})
     signed = ordered.groupBy(*by).agg(
         F.sum(F.col("hi") * (F.col("lo_upto") - F.col("lo"))).cast("double").alias("_c"),
         F.sum(F.col("lo") * (F.col("hi_upto") - F.col("hi"))).cast("double").alias("_d"),

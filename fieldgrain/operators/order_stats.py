@@ -2,12 +2,14 @@
 
 A plain ``row_number() over (partition by group order by value)`` sends every
 row of a group to one task. Here rows are first collapsed to distinct values
-with counts (map-side combine), and a group larger than ``rows_per_bucket`` is
-cut into value ranges; ranks are then "rows in earlier ranges" plus the rank
-inside one range. The cut points come from a mergeable sketch and only steer
-balance: the ranks are exact for any cut points. The cut points are written to
-the checkpoint folder, because both uses of them must agree even if an
-executor is lost and a stage is computed again.
+with counts (map-side combine). Values then fall into cells by rounding to 20
+significant bits, which keeps their order: a running sum is "sums of earlier
+cells" plus the running sum inside the cell. A group has at most 2^20 cells per
+power of two that its values span. Values in a band narrower than 2^-20 of
+their size share a cell; ``bits=(12, 32)`` cuts those in two levels. Percentiles
+read the cells' counts first and then only the few cells that hold a wanted
+rank. The plan is the same for small and large groups, any number of rows is
+cut by the same rule, and nothing is computed while the plan is built.
 """
 
 from __future__ import annotations
@@ -17,32 +19,54 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fieldgrain.functions.semantics import hash_text, null_safe_join
-from fieldgrain.session import cut_lineage
 
-ROWS_PER_BUCKET = 1_000_000
-MAX_CUTS = 2_000
-
-
-def is_large(df: DataFrame, keys: Sequence[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> bool:
-    """Whether any group exceeds the size one task should sort: one counting pass with map-side combine.
-
-    Callers that rank the same rows several times ask once and pass the answer on.
-    """
-    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).agg(F.max("_size")).first()[0]
-    return (largest or 0) > rows_per_bucket
-
-
-def _cuts(df: DataFrame, keys: Sequence[str], value: str, rows_per_bucket: int) -> DataFrame:
-    """Cut points of every group above the size limit, in the number the largest group needs."""
-    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).agg(F.max("_size")).first()[0] or 0
-    pieces = int(min(MAX_CUTS, max(2, -(-largest // rows_per_bucket))))
-    probabilities = [i / pieces for i in range(1, pieces)]
-    sketch = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_size"),
-        F.percentile_approx(value, probabilities, 20 * pieces).alias("_cuts"),
-    )
-    return cut_lineage(
-        sketch.where(F.col("_size") > rows_per_bucket).select(*keys, F.array_distinct("_cuts").alias("_cuts"))
+#: Significant bits of the cells of a value, from coarse to fine; letters of the prefixes of a text.
+VALUE_BITS = (20,)
+TEXT_LETTERS = (2, 8)
+#: Significant bits of the cells that percentiles count before they read values.
+RANK_BITS = 12
+#: Hexadecimal digits of a hash that name its cell: 2^20 cells.
+HASH_DIGITS = (5,)
+
+
+def rounded_bits(value: Column, bits: int) -> Column:
+    """A double rounded to so many significant bits, by splitting: never decreasing in the value."""
+    small = F.when(F.abs(value) > 2.0**900, value * 2.0**-100).otherwise(value)
+    c = small * float(2 ** (53 - bits) + 1)
+    high = c - (c - small)
+    high = F.when(F.abs(value) > 2.0**900, high * 2.0**100).otherwise(high)
+    return F.when(F.abs(value) == float("inf"), value).otherwise(high)
+
+
+def value_cells(df: DataFrame, value: str, bits: Sequence[int] = VALUE_BITS) -> list[Column]:
+    """Cells of a value from coarse to fine, each a function of the next, in the order of the values."""
+    kind = df.schema[value].dataType.simpleString()
+    v = F.col(value)
+    if kind == "string":
+        return [F.substring(v, 1, n) for n in TEXT_LETTERS]
+    number = F.unix_date(v) if kind == "date" else F.unix_micros(v) if kind == "timestamp" else v
+    cells: list[Column] = []
+    for b in sorted(bits, reverse=True):
+        cells.insert(0, rounded_bits(cells[0] if cells else number.cast("double"), b))
+    return cells
+
+
+def sums_before(
+    df: DataFrame, by: Sequence[str], cells: Sequence[str], sums: Sequence[str], *, descending: bool = False
+) -> DataFrame:
+    """One row per (by, cells): ``_b_<sum>`` over the earlier cells of the group and ``_t_<sum>`` over the whole group."""
+    order = F.col(cells[-1]).desc() if descending else F.col(cells[-1]).asc()
+    total = df.groupBy(*by, *cells).agg(*[F.sum(s).alias(s) for s in sums])
+    around = [*by, *cells[:-1]]
+    earlier = Window.partitionBy(*around).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    before = {s: F.coalesce(F.sum(s).over(earlier), F.lit(0)) for s in sums}
+    if len(cells) == 1:
+        whole = {s: F.sum(s).over(Window.partitionBy(*by)) for s in sums}
+        return total.select(*by, *cells, *[c.alias(f"_b_{s}") for s, c in before.items()], *[c.alias(f"_t_{s}") for s, c in whole.items()])
+    inside = total.select(*by, *cells, *[c.alias(f"_i_{s}") for s, c in before.items()])
+    above = sums_before(total, by, cells[:-1], sums, descending=descending)
+    return null_safe_join(inside, above, around).select(
+        *by, *cells, *[(F.col(f"_b_{s}") + F.col(f"_i_{s}")).alias(f"_b_{s}") for s in sums], *[f"_t_{s}" for s in sums]
     )
 
 
@@ -53,15 +77,13 @@ def running_totals(
     sums: Mapping[str, Column] | None = None,
     *,
     descending: bool = False,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
-    large: bool | None = None,
+    bits: Sequence[int] = VALUE_BITS,
 ) -> DataFrame:
     """One row per distinct value of a group, with running and total sums in value order.
 
     ``sums`` maps an output name to an aggregate; each gives ``name``,
     ``name_upto`` (this value included) and ``name_total``. Without ``sums``
-    the row count ``n`` is used. NULL values are left out. ``large`` is the
-    answer of :func:`is_large` if the caller already has it.
+    the row count ``n`` is used. NULL values are left out; NaN comes last.
     """
     sums = dict(sums or {"n": F.count(F.lit(1))})
     keys = list(keys)
@@ -70,50 +92,19 @@ def running_totals(
         rows = rows.withColumn("_all", F.lit(0))
     by = keys or ["_all"]
     atoms = rows.groupBy(*by, value).agg(*[agg.alias(name) for name, agg in sums.items()])
-    if large is None:
-        large = is_large(rows, by, rows_per_bucket)
+    levels = value_cells(atoms, value, bits)
+    cells = [f"_cell{i}" for i in range(len(levels))]
+    atoms = atoms.select("*", *[c.alias(n) for c, n in zip(levels, cells)])
     order = F.col(value).desc() if descending else F.col(value).asc()
-    if not large:
-        whole = Window.partitionBy(*by)
-        upto = whole.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        out = atoms.select(
-            "*",
-            *[F.sum(s).over(upto).alias(f"{s}_upto") for s in sums],
-            *[F.sum(s).over(whole).alias(f"{s}_total") for s in sums],
-        )
-    else:
-        cuts = _cuts(rows, by, value, rows_per_bucket)
-        # The cut table has one short row per oversized group; Spark's own size check decides on broadcast.
-        placed = null_safe_join(atoms, cuts, by, "left").select(
-            *by,
-            value,
-            *sums,
-            F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(value))), F.lit(0)).alias("_range"),
-        )
-        whole = Window.partitionBy(*by)
-        r_order = F.col("_range").desc() if descending else F.col("_range").asc()
-        earlier = whole.orderBy(r_order).rowsBetween(Window.unboundedPreceding, -1)
-        ranges = (
-            placed.groupBy(*by, "_range")
-            .agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
-            .select(
-                *by,
-                "_range",
-                *[F.coalesce(F.sum(f"_t_{s}").over(earlier), F.lit(0)).alias(f"_b_{s}") for s in sums],
-                *[F.sum(f"_t_{s}").over(whole).alias(f"{s}_total") for s in sums],
-            )
-        )
-        inside = (
-            Window.partitionBy(*by, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        )
-        local = placed.select("*", *[F.sum(s).over(inside).alias(f"_u_{s}") for s in sums])
-        out = null_safe_join(local, ranges, [*by, "_range"]).select(
-            *by,
-            value,
-            *sums,
-            *[(F.col(f"_b_{s}") + F.col(f"_u_{s}")).alias(f"{s}_upto") for s in sums],
-            *[F.col(f"{s}_total") for s in sums],
-        )
+    inside = Window.partitionBy(*by, *cells).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = atoms.select("*", *[F.sum(s).over(inside).alias(f"_u_{s}") for s in sums])
+    out = null_safe_join(local, sums_before(atoms, by, cells, list(sums), descending=descending), [*by, *cells]).select(
+        *by,
+        value,
+        *sums,
+        *[(F.col(f"_b_{s}") + F.col(f"_u_{s}")).alias(f"{s}_upto") for s in sums],
+        *[F.col(f"_t_{s}").alias(f"{s}_total") for s in sums],
+    )
     return out if keys else out.drop("_all")
 
 
@@ -123,31 +114,37 @@ def _at_rank(value: str, rank: Column) -> Column:
 
 
 def percentiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probabilities: Mapping[str, float],
-    *,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
-    large: bool | None = None,
+    df: DataFrame, keys: Sequence[str], value: str, probabilities: Mapping[str, float], *, bits: Sequence[int] = (32,)
 ) -> DataFrame:
     """Exact percentiles with midpoint plotting positions: rank p*n + 0.5, linear between, clamped at the ends.
 
-    While every group is below the size limit, one sort by (group, value) gives
-    the ranks; beyond it, they are computed in value ranges.
+    Two passes over the rows and no shuffle of them all: cells of 12 significant bits are counted with map-side sums,
+    then only rows in cells that hold a wanted rank are ranked. NULL values are left out.
     """
-    if large is None:
-        large = is_large(df.where(F.col(value).isNotNull()), keys, rows_per_bucket)
-    if not large:
-        return _small_percentiles(df, keys, value, probabilities)
-    atoms = running_totals(df, keys, value, rows_per_bucket=rows_per_bucket, large=large)
-    aggs, outs = [], []
+    by = list(keys) or ["_all"]
+    value_ = F.col(value).cast("double").alias("_v")
+    rows = df.select(*(keys or [F.lit(0).alias("_all")]), value_).where(F.col("_v").isNotNull())
+    rows = rows.withColumn("_cell", rounded_bits(F.col("_v"), RANK_BITS))
+    counts = rows.groupBy(*by, "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy(*by)
+    upto = F.sum("_n").over(whole.orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = counts.select("*", (upto - F.col("_n")).alias("_start"), F.sum("_n").over(whole).alias("_size"))
+    ranks = {}
     for name, p in probabilities.items():
-        rank = F.greatest(F.lit(1.0), F.least(F.col("n_total").cast("double"), F.col("n_total") * float(p) + 0.5))
+        n = F.col("_size").cast("double")
+        ranks[name] = F.greatest(F.lit(1.0), F.least(n, F.col("_size") * float(p) + 0.5))
+    ends = F.array(*[end(r) for r in ranks.values() for end in (F.floor, F.ceil)])
+    wanted = placed.where(F.exists(ends, lambda r: (F.col("_start") < r) & (r <= F.col("_start") + F.col("_n")))).drop("_n")
+    # a few cells per group: Spark's own size check decides on broadcast
+    near = null_safe_join(rows, wanted, [*by, "_cell"])
+    atoms = running_totals(near, [*by, "_cell", "_start", "_size"], "_v", bits=bits)
+    atoms = atoms.withColumn("n_upto", F.col("_start") + F.col("n_upto"))
+    aggs, outs = [], []
+    for name, rank in ranks.items():
         low = F.floor(rank)
         aggs += [
-            _at_rank(value, low).alias(f"_l_{name}"),
-            _at_rank(value, F.ceil(rank)).alias(f"_h_{name}"),
+            _at_rank("_v", low).alias(f"_l_{name}"),
+            _at_rank("_v", F.ceil(rank)).alias(f"_h_{name}"),
             F.max(rank - low).alias(f"_w_{name}"),
         ]
         outs.append(
@@ -156,28 +153,6 @@ def percentiles(
     return atoms.groupBy(*keys).agg(*aggs).select(*keys, *outs)
 
 
-def _small_percentiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: Mapping[str, float]) -> DataFrame:
-    """Percentiles of groups known to be below the size limit: one shuffle and one sort by (group, value)."""
-    by = list(keys)
-    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    if not by:
-        rows, by = rows.withColumn("_all", F.lit(0)), ["_all"]
-    whole = Window.partitionBy(*by)
-    ranked = rows.select("*", F.row_number().over(whole.orderBy("_v")).alias("_r"), F.count(F.lit(1)).over(whole).alias("_n"))
-    aggs, outs = [], []
-    for name, p in probabilities.items():
-        rank = F.greatest(F.lit(1.0), F.least(F.col("_n").cast("double"), F.col("_n") * float(p) + 0.5))
-        low = F.floor(rank)
-        aggs += [
-            F.max(F.when(F.col("_r") == low, F.col("_v"))).alias(f"_l_{name}"),
-            F.max(F.when(F.col("_r") == F.ceil(rank), F.col("_v"))).alias(f"_h_{name}"),
-            F.max(rank - low).alias(f"_w_{name}"),
-        ]
-        a, b = F.col(f"_l_{name}"), F.col(f"_h_{name}")
-        outs.append((a + F.col(f"_w_{name}") * (b - a)).alias(name))
-    return ranked.groupBy(*by).agg(*aggs).select(*keys, *outs)
-
-
 def average_ranks(
     df: DataFrame,
     keys: Sequence[str],
@@ -185,46 +160,36 @@ def average_ranks(
     out: str,
     *,
     weight: Column | None = None,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
-    large: bool | None = None,
+    bits: Sequence[int] = VALUE_BITS,
 ) -> DataFrame:
     """Rank of every distinct value, ties sharing their mean rank: columns keys, value, ``out``.
 
     ``weight`` is the aggregate that counts rows, when ``df`` is already counted.
     """
     sums = {"n": weight if weight is not None else F.count(F.lit(1))}
-    atoms = running_totals(df, keys, value, sums, rows_per_bucket=rows_per_bucket, large=large)
+    atoms = running_totals(df, keys, value, sums, bits=bits)
     return atoms.select(*keys, value, (F.col("n_upto") - (F.col("n") - 1) / 2.0).alias(out))
 
 
 def hash_positions(
-    df: DataFrame, keys: Sequence[str], item: Sequence[str], seed: int | str, *, prefix: int = 2
+    df: DataFrame, keys: Sequence[str], item: Sequence[str], seed: int | str, *, digits: Sequence[int] = HASH_DIGITS
 ) -> DataFrame:
     """Random order without one big sort: position of each row by seeded md5 inside its group.
 
-    Hashes are uniform, so a hash prefix is a balanced range of the order.
+    Hashes are uniform, so prefixes of the hash cut the rows into 2^20 cells of
+    like size, and only the rows of a cell are sorted together.
     Adds ``position`` (from 1) and ``group_size``.
     """
     by = list(keys)
     base = df if by else df.withColumn("_all", F.lit(0))
     by = by or ["_all"]
-    hashed = base.withColumn("_h", hash_text(seed, *item)).withColumn("_p", F.substring("_h", 1, prefix))
-    whole = Window.partitionBy(*by)
-    offsets = (
-        hashed.groupBy(*by, "_p")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(
-            *by,
-            "_p",
-            F.coalesce(
-                F.sum("_n").over(whole.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-            ).alias("_before"),
-            F.sum("_n").over(whole).alias("group_size"),
-        )
-    )
-    local = hashed.withColumn("_rn", F.row_number().over(Window.partitionBy(*by, "_p").orderBy("_h", *item)))
-    out = null_safe_join(local, offsets, [*by, "_p"]).withColumn("position", F.col("_before") + F.col("_rn"))
-    return out.drop("_h", "_p", "_rn", "_before", "_all")
+    cells = [f"_cell{n}" for n in digits]
+    hashed = base.withColumn("_h", hash_text(seed, *item)).withColumns({c: F.substring("_h", 1, n) for c, n in zip(cells, digits)})
+    counts = hashed.groupBy(*by, *cells).agg(F.count(F.lit(1)).alias("n"))
+    offsets = sums_before(counts, by, cells, ["n"]).withColumnRenamed("_t_n", "group_size")
+    local = hashed.withColumn("_rn", F.row_number().over(Window.partitionBy(*by, *cells).orderBy("_h", *item)))
+    out = null_safe_join(local, offsets, [*by, *cells]).withColumn("position", F.col("_b_n") + F.col("_rn"))
+    return out.drop("_h", "_rn", "_b_n", "_all", *cells)
 
 
 def row_positions(
@@ -235,15 +200,14 @@ def row_positions(
     *,
     descending: bool = False,
     seed: int | str = 0,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
-    large: bool | None = None,
+    bits: Sequence[int] = VALUE_BITS,
 ) -> DataFrame:
     """Position of every row by value, equal values ordered by seeded md5 of ``tie``.
 
     Adds ``position`` and ``group_size``; rows with a NULL value are left out.
     """
     keys = list(keys)
-    atoms = running_totals(df, keys, value, descending=descending, rows_per_bucket=rows_per_bucket, large=large).select(
+    atoms = running_totals(df, keys, value, descending=descending, bits=bits).select(
         *keys, value, (F.col("n_upto") - F.col("n")).alias("_start"), F.col("n_total").alias("_total")
     )
     ranked = hash_positions(df.where(F.col(value).isNotNull()), [*keys, value], tie, seed).withColumnRenamed(

@@ -24,9 +24,9 @@ def midpoint(x, p):
     return np.interp(rank, np.arange(1, len(x) + 1), x)
 
 
-@pytest.mark.parametrize("size", [10_000, 50])
-def test_percentiles(rows, size):
-    got = {r["k"]: r for r in os_.percentiles(rows, ["k"], "v", {"p5": 0.05, "p50": 0.5, "p90": 0.9}, rows_per_bucket=size).collect()}
+@pytest.mark.parametrize("bits", [(12, 32), (1, 3), (5,)])
+def test_percentiles(rows, bits):
+    got = {r["k"]: r for r in os_.percentiles(rows, ["k"], "v", {"p5": 0.05, "p50": 0.5, "p90": 0.9}, bits=bits).collect()}
     pdf = rows.toPandas()
     for k in ("hot", "cold", "one"):
         x = pdf[pdf.k == k].v.dropna().to_numpy()
@@ -35,10 +35,10 @@ def test_percentiles(rows, size):
     assert None in got and "gap" not in got
 
 
-@pytest.mark.parametrize("size", [10_000, 50])
+@pytest.mark.parametrize("bits", [(12, 32), (1, 3), (5,)])
 @pytest.mark.parametrize("descending", [False, True])
-def test_row_positions(rows, size, descending):
-    out = os_.row_positions(rows, ["k"], "v", ["id"], descending=descending, rows_per_bucket=size).toPandas()
+def test_row_positions(rows, bits, descending):
+    out = os_.row_positions(rows, ["k"], "v", ["id"], descending=descending, bits=bits).toPandas()
     pdf = rows.toPandas()
     assert len(out) == pdf.v.notna().sum()
     for k, g in out.groupby("k"):
@@ -63,9 +63,8 @@ def test_kendall_and_spearman_against_pairs(spark):
             s += np.sign(x[i] - x[j]) * np.sign(y[i] - y[j])
             nx += x[i] != x[j]
             ny += y[i] != y[j]
-    for large in (False, True):
-        got = m.kendall(df, ["g"], "x", "y", large=large).first()["kendall"]
-        assert got == pytest.approx(s / np.sqrt(float(nx) * float(ny)), abs=1e-12)
+    got = m.kendall(df, ["g"], "x", "y").first()["kendall"]
+    assert got == pytest.approx(s / np.sqrt(float(nx) * float(ny)), abs=1e-12)
     import pandas as pd
 
     want = pd.Series(x).rank().corr(pd.Series(y).rank())
@@ -89,6 +88,45 @@ def test_weighted_median_and_areas(spark):
 
 
 def test_sum_of_groups_matches(rows):
-    totals = os_.running_totals(rows, ["k"], "v", rows_per_bucket=50)
+    totals = os_.running_totals(rows, ["k"], "v", bits=(1, 2))
     last = totals.groupBy("k").agg(F.max("n_upto").alias("a"), F.max("n_total").alias("b")).collect()
     assert all(r["a"] == r["b"] for r in last)
+
+
+@pytest.mark.parametrize("bits", [1, 12, 32, 52])
+def test_rounded_values_keep_the_order(spark, bits):
+    rng = np.random.default_rng(bits)
+    x = np.concatenate([rng.normal(size=400) * 10.0 ** rng.integers(-320, 309, 400), 1.5 + np.arange(200) * 2.0**-40, [0.0, -0.0, 1e308, -1e308, np.inf, -np.inf, 2.0**900, np.nextafter(2.0**900, 0)]])
+    df = spark.createDataFrame([(float(v),) for v in np.sort(x)], "v double").coalesce(1)
+    out = np.array([r[1] for r in df.select("v", os_.rounded_bits(F.col("v"), bits)).sort("v").collect()])
+    assert not np.isnan(out).any() and (out[1:] >= out[:-1]).all()
+    finite = np.isfinite(out) & (np.abs(out) > 1e-290)
+    assert (np.frexp(out[finite])[0] * 2.0**bits % 1 == 0).all()
+
+
+def test_extreme_values_texts_and_days_are_ranked(spark):
+    inf = float("inf")
+    doubles = [-inf, -1e308, -1.0, -5e-324, 0.0, 5e-324, 1.0, 1.0 + 2**-52, 1e308, inf, float("nan")]
+    data = [(v, f"{'a' * (i // 2)}b{i:02d}", 2**62 + i) for i, v in enumerate(doubles)]
+    df = spark.createDataFrame(data, "d double, t string, i long").withColumn("day", F.date_add(F.lit("2020-01-01").cast("date"), (F.col("i") - 2**62).cast("int")))
+    for c in ("d", "t", "i", "day"):
+        got = [r["n_upto"] for r in os_.running_totals(df, [], c).sort(c).collect()]
+        assert got == list(range(1, len(doubles) + 1)), c
+        back = [r["n_upto"] for r in os_.running_totals(df, [], c, descending=True).sort(F.col(c).desc()).collect()]
+        assert back == list(range(1, len(doubles) + 1)), c
+
+
+def test_no_job_runs_while_a_plan_is_built(spark, rows):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "building")
+    os_.percentiles(rows, ["k"], "v", {"m": 0.5})
+    os_.row_positions(rows, ["k"], "v", ["id"])
+    assert not tracker.getJobIdsForGroup("building")
+    spark.sparkContext.setJobGroup("tests", "tests")
+
+
+def test_empty_groups_give_empty_statistics(rows):
+    none = rows.where("id < 0")
+    assert os_.percentiles(none, [], "v", {"m": 0.5}).where("m is not null").count() == 0
+    assert os_.row_positions(none, ["k"], "v", ["id"]).count() == 0
+    assert os_.hash_positions(none, [], ["id"], 1).count() == 0
