@@ -224,7 +224,7 @@ PREDICTORS = ["campaign_frequency_hz", "campaign_size", "cs_pred_m_s"]
 def _training(spark, sf_dir):
     """Rows with folds; the run is the condition here, so no run is in two folds."""
     rows = predictions(spark, sf_dir).withColumn("campaign_condition_id", F.col("campaign_run_id")).drop("q_pred")
-    return cut_lineage(sp.grouped_folds(rows, 3, seed=7))
+    return cut_lineage(sp.grouped_folds(rows, 5, seed=7))
 
 
 @query("bagged_trees", "M4 M1 M5")
@@ -237,7 +237,7 @@ def bagged_trees(spark, sf_dir):
 
 @query("out_of_fold", "M6")
 def out_of_fold(spark, sf_dir):
-    scored, _ = md.out_of_fold(_training(spark, sf_dir), "ridge", PREDICTORS, "q_true", 3, penalty=1.0)
+    scored, _ = md.out_of_fold(_training(spark, sf_dir), "ridge", PREDICTORS, "q_true", 5, penalty=1.0)
     return rounded(
         scored.groupBy("partition", "prediction_source").agg(
             F.count(F.lit(1)).alias("row_count"), F.avg(F.abs(F.col("q_pred") - F.col("q_true"))).alias("q_mae")
