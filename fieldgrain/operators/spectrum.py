@@ -9,6 +9,7 @@ that is column expressions and grouped sums.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -21,6 +22,8 @@ from fieldgrain.operators.curves import radial_features, shape_features, with_ec
 from fieldgrain.operators.patches import PATCH
 
 ANGLE_BINS = 72
+#: Cells of transforms that a task holds at once (4 MB as complex numbers).
+BATCH_CELLS = 2**18
 SPECTRUM_TYPE = (
     "struct<valid:boolean,nbins:int,k_cent:array<double>,srad:array<double>,"
     "k_shell:array<double>,w_shell:array<double>,power:array<double>>"
@@ -50,6 +53,14 @@ def frequency_grid(n: int, dx: float, dz: float) -> dict:
     }
 
 
+@lru_cache(maxsize=64)
+def angle_slots(n: int, dx: float, dz: float) -> np.ndarray:
+    """Angle bin of every cell of a centred n x n transform."""
+    i = np.arange(n) - n // 2
+    angle = np.arctan2(i[:, None] / dz, i[None, :] / dx).ravel() % (2 * math.pi)
+    return np.floor(angle * (ANGLE_BINS / (2 * math.pi)) + 1e-9).astype(int) % ANGLE_BINS
+
+
 def smooth(power: np.ndarray, sigma: float) -> np.ndarray:
     """Separable Gaussian over the last two axes, 2*ceil(2*sigma)+1 taps, edges repeated."""
     if sigma <= 0:
@@ -107,9 +118,9 @@ def spectrum_function(
 ):
     """Arrow-batched power spectrum of windows of one width; see :data:`SPECTRUM_TYPE` for the result."""
     side = window + 2 * round(pad * window)
+    step = max(1, BATCH_CELLS // side**2)
 
-    @F.pandas_udf(SPECTRUM_TYPE)
-    def spectrum(re: pd.Series, im: pd.Series, dx: pd.Series, dz: pd.Series, f0: pd.Series) -> pd.DataFrame:
+    def spectra(re: pd.Series, im: pd.Series, dx: pd.Series, dz: pd.Series, f0: pd.Series) -> pd.DataFrame:
         def stack(s: pd.Series) -> np.ndarray:
             return np.stack([np.asarray(v, dtype=float) for v in s]).reshape(-1, window, window)
 
@@ -140,6 +151,14 @@ def spectrum_function(
         names = ["valid", "nbins", "k_cent", "srad", "k_shell", "w_shell", "power"]
         return pd.DataFrame(rows, columns=names)
 
+    # An Arrow batch has ten thousand windows, whose transforms are far larger than their pixels: each is worked off and
+    # handed back in parts.
+    @F.pandas_udf(SPECTRUM_TYPE)
+    def spectrum(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for start in range(0, len(batch[0]), step):
+                yield spectra(*[s.iloc[start : start + step] for s in batch])
+
     # Marked so that the optimizer never copies the call below a later filter and runs the FFT twice.
     return spectrum.asNondeterministic()
 
@@ -186,16 +205,13 @@ def angular_energy(spectra: DataFrame, window: int, pad: float = 1.0, *, band_iq
 def ring_histogram(spectra: DataFrame, window: int, pad: float = 1.0, *, band_iqr: float = 1.0, out: str = "pang") -> DataFrame:
     """Same ring energy as :func:`angular_energy`, as a 72-element array on the row, without a shuffle."""
     side = window + 2 * round(pad * window)
-    i = np.arange(side) - side // 2
 
     @F.pandas_udf("array<double>")
     def ring(power: pd.Series, low: pd.Series, high: pd.Series, dx: pd.Series, dz: pd.Series) -> pd.Series:
         def histogram(p, lo, hi, sx, sz):
             if p is None or lo is None or lo != lo:
                 return None
-            kr = frequency_grid(side, sx, sz)["kr"].ravel()
-            angle = np.arctan2(i[:, None] / sz, i[None, :] / sx).ravel() % (2 * math.pi)
-            slot = np.floor(angle * (ANGLE_BINS / (2 * math.pi)) + 1e-9).astype(int) % ANGLE_BINS
+            kr, slot = frequency_grid(side, sx, sz)["kr"].ravel(), angle_slots(side, sx, sz)
             inside = (kr >= lo) & (kr <= hi)
             return np.bincount(slot[inside], np.asarray(p)[inside], ANGLE_BINS)
 

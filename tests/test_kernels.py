@@ -294,3 +294,24 @@ def test_ledger_stream_drops_duplicates(spark, tmp_path):
     q = stream.writeStream.outputMode("append").format("memory").queryName("ledger_once").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("ledger_once").count() == 5
+
+
+def test_windows_are_transformed_in_bounded_parts():
+    import tracemalloc
+
+    function = spx.spectrum_function(9, keep_power=True).func
+    rng = np.random.default_rng(3)
+    n = 2500
+    batch = (
+        pd.Series(list(rng.normal(size=(n, 81)))), pd.Series(list(rng.normal(size=(n, 81)))),
+        pd.Series(np.where(np.arange(n) % 7, 1.0, 2.0)), pd.Series(np.ones(n)), pd.Series(np.full(n, 300.0)),
+    )
+    tracemalloc.start()
+    sizes = [len(part) for part in function(iter([batch, batch]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(sizes) == 2 * n and max(sizes) * 27**2 <= spx.BATCH_CELLS
+    assert peak < 60e6  # a whole batch takes about 130 MB
+    parts = pd.concat(function(iter([batch])), ignore_index=True)
+    single = next(function(iter([tuple(s.iloc[1777:1778] for s in batch)])))
+    assert np.allclose(parts["power"][1777], single["power"][0]) and np.allclose(parts["srad"][1777], single["srad"][0])
