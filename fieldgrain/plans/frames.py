@@ -10,6 +10,8 @@ import math
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from fieldgrain.functions.semantics import steady_mean
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -193,7 +195,7 @@ def value_map(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.get_json_object("props", "$.k").cast("long") % 3).alias("material"),
     )
     cells = events.groupBy("user_id", "day").agg(
-        F.avg("value").alias("value"), F.max("material").alias("material_id"), F.count(F.lit(1)).alias("weight")
+        steady_mean("value").alias("value"), F.max("material").alias("material_id"), F.count(F.lit(1)).alias("weight")
     )
     return cells.select(
         (F.floor(F.col("user_id") / 25) * 1000 + F.floor(F.col("day") / 32)).alias("map_id"),

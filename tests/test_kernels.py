@@ -315,3 +315,42 @@ def test_windows_are_transformed_in_bounded_parts():
     parts = pd.concat(function(iter([batch])), ignore_index=True)
     single = next(function(iter([tuple(s.iloc[1777:1778] for s in batch)])))
     assert np.allclose(parts["power"][1777], single["power"][0]) and np.allclose(parts["srad"][1777], single["srad"][0])
+
+
+def test_two_centres_equal_plain_sweeps(spark):
+    rng = np.random.default_rng(11)
+    pdf = pd.DataFrame({"map_id": rng.integers(0, 25, 900), "iz": rng.integers(0, 25, 900), "ix": rng.integers(0, 32, 900)}).drop_duplicates()
+    pdf["value"] = np.where(pdf.map_id < 3, 4.0, np.round(rng.gamma(1.2, 20, len(pdf)), np.where(pdf.map_id % 2, 0, 2)[0]))
+    pdf = pd.concat([pdf, pd.DataFrame({"map_id": [90, 91, 91], "iz": 0, "ix": [0, 0, 1], "value": [3.0, 1.0, 9.0]})])
+    got = {r["map_id"]: r for r in mp.two_centres(spark.createDataFrame(pdf)).collect()}
+    assert set(got) == set(pdf.map_id)
+
+    def percentile(v, p):
+        rank = min(max(len(v) * p + 0.5, 1), len(v))
+        v = sorted(v)
+        return v[math.floor(rank) - 1] + (rank - math.floor(rank)) * (v[math.ceil(rank) - 1] - v[math.floor(rank) - 1])
+
+    for key, group in pdf.groupby("map_id"):
+        v = group.value.to_numpy()
+        c1, c2 = percentile(v, 0.25), percentile(v, 0.75)
+        for _ in range(20):
+            first = np.abs(v - c1) <= np.abs(v - c2)
+            new = (np.median(v[first]), np.median(v[~first]) if (~first).any() else c2)
+            c1, c2, moved = *new, new != (c1, c2)
+            if not moved:
+                break
+        assert (got[key]["low_centre"], got[key]["high_centre"]) == pytest.approx((min(c1, c2), max(c1, c2))), key
+
+
+def test_mean_does_not_depend_on_the_order_of_rows(spark):
+    from fieldgrain.functions.semantics import steady_mean
+
+    values = [0.1, 0.2, 0.3, 123.45, 560.21, 2.11, 1e-3, 77.7]
+    means = set()
+    for turn in range(len(values)):
+        rows = spark.createDataFrame([(v,) for v in values[turn:] + values[:turn]], "value double").coalesce(1)
+        means.add(rows.agg(steady_mean("value")).first()[0])
+    assert len(means) == 1 and means.pop() == pytest.approx(sum(values) / len(values))
+    odd = spark.createDataFrame([(1, float("inf")), (1, 2.0), (2, None), (3, 4.25), (3, None), (4, 1e300)], "k int, value double")
+    got = {r[0]: r[1] for r in odd.groupBy("k").agg(steady_mean("value")).collect()}
+    assert got == {1: float("inf"), 2: None, 3: 4.25, 4: 1e300}
