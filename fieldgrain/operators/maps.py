@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fieldgrain.functions.semantics import null_safe_join
 from fieldgrain.operators.metrics import weighted_median
-from fieldgrain.operators.order_stats import percentiles
+from fieldgrain.operators.order_stats import percentiles, running_totals
 from fieldgrain.session import cut_lineage
 
 CELL = ["map_id", "iz", "ix"]
@@ -362,22 +362,43 @@ def label_agreement(cells: DataFrame, labels: str, truth: str) -> DataFrame:
 def two_centres(cells: DataFrame, value: str = "value", sweeps: int = 20) -> DataFrame:
     """Two-centre median clustering of every map: the centres alternate with the split until they settle.
 
-    Only a two-number state per map is carried between sweeps; medians are
-    exact and distributed.
+    The first centre is never the larger one, so its side is the lower values of a map. Every distinct value therefore
+    carries, once and for all, the medians of the values up to it and of those after it; a sweep looks up the largest
+    value of the first side. Only a two-number state per map is carried between sweeps; medians are exact and
+    distributed.
     """
-    state = cut_lineage(percentiles(cells, ["map_id"], value, {"c1": 0.25, "c2": 0.75}))
-    rows = cut_lineage(cells.select("map_id", value).where(F.col(value).isNotNull()))
+    atoms = cut_lineage(running_totals(cells, ["map_id"], value).select("map_id", F.col(value).alias("_v"), "n", "n_upto", "n_total"))
+    ranked = atoms.select("map_id", "_v", F.explode(F.sequence(F.col("n_upto") - F.col("n") + 1, F.col("n_upto"))).alias("_at"))
+
+    def looked_up(rows: DataFrame, by: Sequence[str], ranks: dict[str, Column]) -> DataFrame:
+        """Values at (fractional) ranks of the map, linear between neighbours; NULL for a NULL rank."""
+        wanted = F.array(*[
+            F.struct(F.lit(name).alias("name"), end(r).cast("long").alias("_at"), (1 - F.abs(r - end(r))).alias("share"))
+            for name, r in ranks.items() for end in (F.floor, F.ceil)
+        ])
+        long = rows.select(*by, F.explode(wanted).alias("_w")).select(*by, "_w.*")
+        ends = long.distinct().join(ranked, ["map_id", "_at"])
+        low, high = (lambda n, f=f: f(F.when(F.col("name") == n, F.col("_v"))) for f in (F.min, F.max))
+        share = lambda n: F.min(F.when(F.col("name") == n, F.struct("_at", "share")))["share"]
+        return ends.groupBy(*by).agg(*[(low(n) + (1 - share(n)) * (high(n) - low(n))).alias(n) for n in ranks])
+
+    size = F.col("n_total")
+    quarter = lambda p: F.greatest(F.lit(1.0), F.least(size.cast("double"), size * p + 0.5))
+    maps = atoms.select("map_id", "n_total").distinct()
+    state = cut_lineage(looked_up(maps, ["map_id"], {"c1": quarter(0.25), "c2": quarter(0.75)}))
+    upto = F.col("n_upto")
+    sides = {"_m1": upto * 0.5 + 0.5, "_m2": F.when(upto < size, upto + (size - upto) * 0.5 + 0.5)}
+    medians = looked_up(atoms.select("map_id", "n_upto", "n_total"), ["map_id", "n_upto"], sides)
+    splits = cut_lineage(atoms.select("map_id", "_v", "n_upto").join(medians, ["map_id", "n_upto"]))
+    v, c1, c2 = F.col("_v"), F.col("c1"), F.col("c2")
+    first = (c1 == c2) | ((v < c2) & (F.abs(v - c1) <= F.abs(v - c2)))
     for _ in range(sweeps):
-        first = F.abs(F.col(value) - F.col("c1")) <= F.abs(F.col(value) - F.col("c2"))
-        placed = rows.join(state, "map_id").withColumn("_first", first)
-        medians = percentiles(placed, ["map_id", "_first"], value, {"_m": 0.5})
-        moved = medians.groupBy("map_id").agg(
-            F.max(F.when(F.col("_first"), F.col("_m"))).alias("_m1"), F.max(F.when(~F.col("_first"), F.col("_m"))).alias("_m2")
-        )
+        last = splits.join(state, "map_id").where(first).groupBy("map_id").agg(F.max(F.struct("n_upto", "_m1", "_m2")).alias("_s"))
+        moved = last.select("map_id", "_s._m1", "_s._m2")
         new = cut_lineage(
             state.join(moved, "map_id").select(
-                "map_id", F.coalesce("_m1", "c1").alias("c1"), F.coalesce("_m2", "c2").alias("c2"),
-                ((F.coalesce("_m1", "c1") != F.col("c1")) | (F.coalesce("_m2", "c2") != F.col("c2"))).alias("_moved"),
+                "map_id", F.col("_m1").alias("c1"), F.coalesce("_m2", "c2").alias("c2"),
+                ((F.col("_m1") != c1) | (F.coalesce("_m2", "c2") != c2)).alias("_moved"),
             )
         )
         state = new.drop("_moved")
@@ -390,7 +411,8 @@ def two_centres(cells: DataFrame, value: str = "value", sweeps: int = 20) -> Dat
 def profile_labels(cells: DataFrame, centres: DataFrame, value: str = "value") -> DataFrame:
     """Bilayer labels from the axis whose median profile varies more, split at the cluster threshold."""
     def profile(axis: str) -> DataFrame:
-        return percentiles(cells, ["map_id", axis], value, {f"_{axis}": 0.5})
+        # one row per line of a map, read twice below
+        return cut_lineage(percentiles(cells, ["map_id", axis], value, {f"_{axis}": 0.5}))
 
     columns, lines = profile("ix"), profile("iz")
     spread = columns.groupBy("map_id").agg((F.max("_ix") - F.min("_ix")).alias("_rx")).join(
