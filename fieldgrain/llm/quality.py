@@ -6,9 +6,9 @@ log(trusted / raw) over its n-grams. The bound lies where clean text ends: trust
 get a second value from a table without the trusted documents of their own fold, as text that was not counted gets it,
 and the ``quantile`` of these values is the bound. Every document below the bound is not kept.
 
-The labelled side is a bounded sample: the ``trusted_limit`` labelled ids with the smallest hash. So that side, at most
-16 bytes a row, may be broadcast. The table of log ratios has ``buckets`` rows. Everything else is counted over all
-documents. Only DataFrame functions are used.
+All documents labelled as good are trusted. Their ids meet the texts once, for the counts, in a sort-merge join: that
+takes one shuffle of the texts at every size. The scores meet them as short rows. The table of log ratios has ``buckets`` rows. Everything is counted over all documents, and
+the bound is the exact quantile. Only DataFrame functions are used.
 
 Defined cases: a null or blank text has no words, zero figures, no value (null), fails the base rule; ids that are null
 or repeat are kept as rows of their own; an unlabelled table gives ratio 0 for all; without trusted
@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fieldgrain.llm.common import documents, let, text_of, words_of, written
+from fieldgrain.operators.order_stats import running_totals
 
 #: Fixed value: the symbols that are counted.
 SYMBOLS = "#*$%&|<>"
@@ -87,17 +88,20 @@ def bucket_counts(docs: DataFrame, keep: list[str], buckets: int) -> DataFrame:
     return rows.select(*keep, F.explode(F.array(one, two)).alias("bucket")).where("bucket is not null")
 
 
-def trusted_ids(labels: DataFrame, trusted_limit: int, folds: int) -> DataFrame:
-    """doc_id and fold of the labelled sample."""
+def fold_of(folds: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(folds)).cast("int")
+
+
+def trusted_ids(labels: DataFrame, folds: int) -> DataFrame:
+    """doc_id and fold of all documents labelled as good."""
     good = labels.where("quality = 1").select("doc_id").where("doc_id is not null").distinct()
-    good = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted_limit)
-    return good.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(folds)).cast("int"))
+    return good.withColumn("fold", fold_of(folds))
 
 
 def log_ratios(docs: DataFrame, good: DataFrame, buckets: int, folds: int, smoothing: float = 1.0) -> DataFrame:
     """bucket, ratios: the smoothed log ratio of the trusted to the raw multinomial for every bucket, then those without
     the trusted documents of each fold (null where no others are left)."""
-    marked = docs.select("doc_id", "text").join(F.broadcast(good), "doc_id", "left")
+    marked = docs.select("doc_id", "text").join(good.hint("merge"), "doc_id", "left")
     parts = bucket_counts(marked, ["fold"], buckets).groupBy("bucket", "fold").agg(F.count("*").alias("n"))
     of = lambda here: F.coalesce(F.sum(F.when(here, F.col("n"))), F.lit(0))
     goods = [of(F.col("fold").isNotNull()).alias("good"), *[of(F.col("fold") != k).alias(f"good{k}") for k in range(folds)]]
@@ -113,27 +117,33 @@ def log_ratios(docs: DataFrame, good: DataFrame, buckets: int, folds: int, smoot
     return full.crossJoin(F.broadcast(sums)).select("bucket", ratios.alias("ratios"))
 
 
-def quality(docs: DataFrame, labels: DataFrame, buckets: int = 8192, trusted_limit: int = 200_000, quantile: float = 0.001, folds: int = 5) -> DataFrame:
+def lower_quantile(rows: DataFrame, value: str, quantile: float) -> DataFrame:
+    """One row, ``_bound``: the smallest value with at least this share of the values at or below it (null without values)."""
+    ranked = running_totals(rows.select(value), [], value, bits=(8, 28))  # coarse cells first: few meet in one task
+    return ranked.where(F.col("n_upto") >= F.ceil(F.col("n_total") * quantile)).agg(F.min(value).alias("_bound"))
+
+
+def quality(docs: DataFrame, labels: DataFrame, buckets: int = 8192, quantile: float = 0.001, folds: int = 5) -> DataFrame:
     """Rule figures, ``ratio`` (mean log ratio) and the verdicts of every document."""
-    good = trusted_ids(labels, trusted_limit, folds)
+    good = trusted_ids(labels, folds)
     ratios = written(log_ratios(docs, good, buckets, folds), "quality-ratios")
     # a row number that holds for this reading of the table keeps rows with equal ids apart; the sums of a document are
     # made where it is read, and one row per document is shuffled
     figures = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    marked = docs.select("doc_id", "text").join(F.broadcast(good), "doc_id", "left")
+    marked = docs.select("doc_id", "text", fold_of(folds).alias("fold"))
     rows = rule_figures(marked).withColumn("_row", F.monotonically_increasing_id()).withColumn("_h", word_hashes())
     table = ratios.agg(F.sort_array(F.collect_list(F.struct("bucket", "ratios"))).alias("t")).select(F.transform("t", lambda x: x["ratios"]).alias("_ratios"))
     one, two = gram_buckets(buckets)
     each = rows.select("_row", *figures, "fold", F.explode_outer(grams(F.col("_h"))).alias("g")).crossJoin(F.broadcast(table))
     each = each.select("_row", *figures, "fold", F.get("_ratios", one).alias("_one"), F.get("_ratios", two).alias("_two"))
     at = lambda k: F.get("_one", k) + F.when(F.col("_two").isNull(), 0.0).otherwise(F.get("_two", k))
-    sums = [F.sum(at(F.lit(0))).alias("total"), F.sum(F.when(F.col("fold").isNotNull(), at(F.col("fold") + 1))).alias("apart")]
+    sums = [F.sum(at(F.lit(0))).alias("total"), F.sum(at(F.col("fold") + 1)).alias("apart")]
     n_grams = 2 * F.col("n_words") - 1
     scored = each.groupBy("_row", *figures).agg(*sums).select(*figures, (F.col("total") / n_grams).alias("ratio"), (F.col("apart") / n_grams).alias("apart"))
     # the scores are read twice, for the bound and for the verdicts
     scored = written(scored, "quality-scores")
-    # one of the values themselves; exact up to a million trusted rows
-    bound = scored.where(~F.col("base_failed")).agg(F.percentile_approx("apart", quantile, 1_000_000).alias("_bound"))
+    passing = scored.where(~F.col("base_failed")).select("doc_id", "apart")
+    bound = lower_quantile(passing.join(good.hint("merge"), "doc_id", "left_semi"), "apart", quantile)
     kept = ~F.col("base_failed") & (F.col("_bound").isNull() | (F.col("ratio") >= F.col("_bound")))
     return scored.crossJoin(F.broadcast(bound)).select(*figures, F.coalesce(kept, F.lit(False)).alias("kept"), "ratio")
 

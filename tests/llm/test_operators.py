@@ -349,3 +349,13 @@ def test_prefix_pairs_lose_no_similar_pair(spark):
     alike = lambda x, y: len(set(x) & set(y)) >= 0.8 * len(set(x) | set(y))
     want = {(a, b) for a in range(80) for b in range(a + 1, 80) if a // 2 != b // 2 and alike(sets[a], sets[b])}
     assert want and want <= got and all(a // 2 != b // 2 for a, b in got)
+
+
+def test_quality_trusts_all_labelled_documents(spark):
+    labels = spark.range(250_000).selectExpr("id AS doc_id", "1 AS quality")
+    found = quality.trusted_ids(labels, folds=5)
+    assert found.count() == 250_000 and {r["fold"] for r in found.select("fold").distinct().collect()} == set(range(5))
+    values = spark.range(3001).selectExpr("CAST(id AS double) / 7 AS v")
+    assert quality.lower_quantile(values, "v", 0.001).first()[0] == pytest.approx(3 / 7)
+    assert quality.lower_quantile(values.limit(1), "v", 0.001).first()[0] is not None
+    assert quality.lower_quantile(values.limit(0), "v", 0.001).first()[0] is None
