@@ -147,11 +147,15 @@ def evidence(assoc: DataFrame, *, minimum_n: int = 6, minimum_groups: int = 4, l
     )
 
 
-def quantile_bin(rows: DataFrame, keys: Sequence[str], value: str, bins: int, out: str) -> DataFrame:
-    """Bin of each row between exact quantile edges; the outer bins are open, repeated edges collapse."""
+def quantile_bin(rows: DataFrame, keys: Sequence[str], value: str, bins: int, out: str, *, few_groups: bool = False) -> DataFrame:
+    """Bin of each row between exact quantile edges; the outer bins are open, repeated edges collapse.
+
+    ``few_groups``: the caller bounds the number of groups, so that their edges reach the rows without a shuffle by group.
+    """
     points = {f"_e{i}": i / bins for i in range(1, bins)}
-    edges = percentiles(rows, keys, value, points)
+    edges = percentiles(rows, keys, value, points, few_groups=few_groups)
     edges = edges.select(*keys, F.array_distinct(F.array(*points)).alias("_edges"))
+    edges = F.broadcast(edges) if few_groups else edges
     joined = null_safe_join(rows, edges, keys, "left") if keys else rows.crossJoin(F.broadcast(edges))  # one row
     index = F.size(F.filter("_edges", lambda e: e <= F.col(value))) + 1
     return joined.withColumn(out, F.when(F.col(value).isNotNull(), index)).drop("_edges")
@@ -166,8 +170,9 @@ def mutual_information(rows: DataFrame, keys: Sequence[str], features: Sequence[
     """Discretised mutual information of each feature with the target over quantile bins."""
     by = [*keys, "feature_name"]
     long = long_features(rows, keys, features, target)
-    placed = quantile_bin(long, by, "x", bins, "_xb")
-    placed = quantile_bin(placed, by, "y", bins, "_yb")
+    few = not keys  # the groups are the features
+    placed = quantile_bin(long, by, "x", bins, "_xb", few_groups=few)
+    placed = quantile_bin(placed, by, "y", bins, "_yb", few_groups=few)
     joint = placed.groupBy(*by, "_xb", "_yb").agg(F.count(F.lit(1)).alias("_n"))
     px = joint.groupBy(*by, "_xb").agg(F.sum("_n").alias("_nx"))
     py = joint.groupBy(*by, "_yb").agg(F.sum("_n").alias("_ny"))

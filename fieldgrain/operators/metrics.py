@@ -303,9 +303,8 @@ def spearman(
     by = list(keys) or ["_all"]
     counted = base.groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("_w"))
     weight = F.sum("_w")
-    cells = null_safe_join(counted, average_ranks(counted, by, x, "_rx", weight=weight), [*by, x])
+    cells = null_safe_join(counted, average_ranks(counted, by, x, "_rx", weight=weight, size="_n"), [*by, x])
     cells = null_safe_join(cells, average_ranks(counted, by, y, "_ry", weight=weight), [*by, y])
-    cells = null_safe_join(cells, counted.groupBy(*by).agg(weight.alias("_n")), by)
     dx, dy, w = F.col("_rx") - (F.col("_n") + 1) / 2.0, F.col("_ry") - (F.col("_n") + 1) / 2.0, F.col("_w")
     out_rows = cells.groupBy(*by).agg(
         ratio(F.sum(w * dx * dy), F.sqrt(F.sum(w * dx * dx)) * F.sqrt(F.sum(w * dy * dy))).alias(out)

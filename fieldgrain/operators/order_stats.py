@@ -114,12 +114,14 @@ def _at_rank(value: str, rank: Column) -> Column:
 
 
 def percentiles(
-    df: DataFrame, keys: Sequence[str], value: str, probabilities: Mapping[str, float], *, bits: Sequence[int] = (32,)
+    df: DataFrame, keys: Sequence[str], value: str, probabilities: Mapping[str, float], *, bits: Sequence[int] = (32,),
+    few_groups: bool = False,
 ) -> DataFrame:
     """Exact percentiles with midpoint plotting positions: rank p*n + 0.5, linear between, clamped at the ends.
 
     Two passes over the rows and no shuffle of them all: cells of 12 significant bits are counted with map-side sums,
-    then only rows in cells that hold a wanted rank are ranked. NULL values are left out.
+    then only rows in cells that hold a wanted rank are ranked. NULL values are left out. ``few_groups`` says that the
+    caller bounds the number of groups (one without keys): the wanted cells, two a rank and group, are then broadcast.
     """
     by = list(keys) or ["_all"]
     value_ = F.col(value).cast("double").alias("_v")
@@ -135,7 +137,9 @@ def percentiles(
         ranks[name] = F.greatest(F.lit(1.0), F.least(n, F.col("_size") * float(p) + 0.5))
     ends = F.array(*[end(r) for r in ranks.values() for end in (F.floor, F.ceil)])
     wanted = placed.where(F.exists(ends, lambda r: (F.col("_start") < r) & (r <= F.col("_start") + F.col("_n")))).drop("_n")
-    # a few cells per group: Spark's own size check decides on broadcast
+    if few_groups or not keys:
+        wanted = F.broadcast(wanted)
+    # with many groups Spark's own size check decides on broadcast
     near = null_safe_join(rows, wanted, [*by, "_cell"])
     atoms = running_totals(near, [*by, "_cell", "_start", "_size"], "_v", bits=bits)
     atoms = atoms.withColumn("n_upto", F.col("_start") + F.col("n_upto"))
@@ -160,15 +164,17 @@ def average_ranks(
     out: str,
     *,
     weight: Column | None = None,
+    size: str | None = None,
     bits: Sequence[int] = VALUE_BITS,
 ) -> DataFrame:
     """Rank of every distinct value, ties sharing their mean rank: columns keys, value, ``out``.
 
-    ``weight`` is the aggregate that counts rows, when ``df`` is already counted.
+    ``weight`` is the aggregate that counts rows, when ``df`` is already counted; ``size`` names a column for the group's rows.
     """
     sums = {"n": weight if weight is not None else F.count(F.lit(1))}
     atoms = running_totals(df, keys, value, sums, bits=bits)
-    return atoms.select(*keys, value, (F.col("n_upto") - (F.col("n") - 1) / 2.0).alias(out))
+    total = [F.col("n_total").alias(size)] if size else []
+    return atoms.select(*keys, value, (F.col("n_upto") - (F.col("n") - 1) / 2.0).alias(out), *total)
 
 
 def hash_positions(

@@ -130,3 +130,26 @@ def test_empty_groups_give_empty_statistics(rows):
     assert os_.percentiles(none, [], "v", {"m": 0.5}).where("m is not null").count() == 0
     assert os_.row_positions(none, ["k"], "v", ["id"]).count() == 0
     assert os_.hash_positions(none, [], ["id"], 1).count() == 0
+
+
+def test_few_groups_are_not_shuffled_by_group(spark):
+    """Joins on the group alone send all rows of a feature to one task."""
+    from fieldgrain.operators import association as ac, metrics as m
+
+    rows = spark.range(400).selectExpr("CAST(id % 7 AS double) AS a", "CAST(id * 37 % 101 AS double) AS t")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables too large for Spark's size check
+    try:
+        placed = ac.quantile_bin(ac.long_features(rows, [], ["a"], "t"), ["feature_name"], "y", 4, "b", few_groups=True)
+        mutual = ac.mutual_information(rows, [], ["a"], "t", 4)
+        ranks = m.spearman(rows.withColumn("g", F.lit("a")), ["g"], "a", "t")
+        plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+        assert "LeftOuter" in plan(mutual) and not any("SortMergeJoin" in line and "LeftOuter" in line for line in plan(mutual).splitlines())
+        assert sorted(r[0] for r in placed.groupBy("b").count().select("b").collect()) == [1, 2, 3, 4]
+        joins = [line for line in plan(ranks).splitlines() if "SortMergeJoin" in line]
+        assert joins and all(line.split("SortMergeJoin", 1)[1].count("coalesce") >= 2 for line in joins)
+        pdf = rows.toPandas()
+        want = np.corrcoef(pdf.a.rank(), pdf.t.rank())[0, 1]
+        assert ranks.first()["spearman"] == pytest.approx(want)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
