@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldgrain.functions.semantics import null_safe_join, ratio, share
-from fieldgrain.operators.metrics import _join, kendall, spearman
+from fieldgrain.operators.metrics import _join, kendall, rank_correlations, spearman
 from fieldgrain.operators.order_stats import percentiles, row_positions
 from fieldgrain.session import cut_lineage
 
@@ -45,7 +45,8 @@ def association(rows: DataFrame, keys: Sequence[str], features: Sequence[str], t
         F.regr_r2("y", "x").alias("linear_R2"),
         F.sqrt(F.greatest(F.regr_syy("y", "x") - F.regr_slope("y", "x") * F.regr_sxy("y", "x"), F.lit(0.0)) / F.count(F.lit(1))).alias("linear_RMSE"),
     )
-    parts = [base, spearman(long, by, "x", "y", "spearman_rho")]
+    doubles = {f: F.col(f).cast("double") for f in features}
+    parts = [base, rank_correlations(rows, keys, doubles, F.col(target).cast("double"), "spearman_rho")]
     if with_kendall:
         parts.append(kendall(long, by, "x", "y", "kendall_tau"))
     out = _join(parts, by)
@@ -97,7 +98,7 @@ LEVELS = {"weak": 0.30, "moderate": 0.50, "strong": 0.70}
 def evidence(assoc: DataFrame, *, minimum_n: int = 6, minimum_groups: int = 4, levels: dict[str, float] = LEVELS) -> DataFrame:
     """Per feature: how strong, how consistent in sign, and a decision with its recommendation."""
     # A short table (one row per group and feature) that is read several times below.
-    assoc = cut_lineage(assoc)
+    assoc = cut_lineage(assoc.select("feature_name", "n_valid", "spearman_rho", "linear_R2"))
     rho = F.col("spearman_rho")
     valid = assoc.withColumn("_ok", rho.isNotNull() & (F.col("n_valid") >= minimum_n))
     ok = valid.where("_ok")

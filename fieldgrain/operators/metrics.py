@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fieldgrain.functions.semantics import EPS, finite, null_safe_join, percent, ratio, require_columns, share
 from fieldgrain.operators.order_stats import (
-    average_ranks,
     percentiles,
     row_positions,
     running_totals,
@@ -296,20 +295,39 @@ def gain_vs_baseline(summary: DataFrame, keys: Sequence[str], variant: str, base
 def spearman(
     rows: DataFrame, keys: Sequence[str], x: str, y: str, out: str = "spearman"
 ) -> DataFrame:
-    """Rank correlation from counted (x, y) pairs; tied values share their mean rank."""
-    base = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    if not keys:
-        base = base.withColumn("_all", F.lit(0))
+    """Rank correlation; tied values share their mean rank."""
+    return rank_correlations(rows, keys, {x: F.col(x)}, F.col(y), out).select(*keys, out)
+
+
+def rank_correlations(rows: DataFrame, keys: Sequence[str], features: Mapping[str, Column], target: Column, out: str) -> DataFrame:
+    """Rank correlation of each feature with the target: columns keys, feature_name, ``out``.
+
+    A feature counts the rows that have it and the target. Values of the target are ranked once for all features, by
+    one count per feature. Rows then meet the ranks of their target and are summed by value of the feature.
+    """
     by = list(keys) or ["_all"]
-    counted = base.groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("_w"))
-    weight = F.sum("_w")
-    cells = null_safe_join(counted, average_ranks(counted, by, x, "_rx", weight=weight, size="_n"), [*by, x])
-    cells = null_safe_join(cells, average_ranks(counted, by, y, "_ry", weight=weight), [*by, y])
-    dx, dy, w = F.col("_rx") - (F.col("_n") + 1) / 2.0, F.col("_ry") - (F.col("_n") + 1) / 2.0, F.col("_w")
-    out_rows = cells.groupBy(*by).agg(
-        ratio(F.sum(w * dx * dy), F.sqrt(F.sum(w * dx * dx)) * F.sqrt(F.sum(w * dy * dy))).alias(out)
-    )
-    return out_rows.select(*keys, out)
+    x = {name: f"_x{i}" for i, name in enumerate(features)}
+    base = rows.select(*(keys or [F.lit(0).alias("_all")]), *[c.alias(x[f]) for f, c in features.items()], target.alias("_y"))
+    base = base.where(F.col("_y").isNotNull())
+    counts = {f"_n{c}": F.count(c) for c in x.values()}
+
+    def centred(n: str) -> Column:
+        """The mean rank of a value less that of its group."""
+        return F.col(f"{n}_upto") - (F.col(n) - 1) / 2.0 - (F.col(f"{n}_total") + 1) / 2.0
+
+    ranks = running_totals(base, by, "_y", counts).select(*by, "_y", *[centred(f"_n{c}").alias(f"_d{c}") for c in x.values()])
+    entries = [F.struct(F.lit(f).alias("feature_name"), F.col(c).alias("_x"), F.col(f"_d{c}").alias("_d")) for f, c in x.items()]
+    placed = null_safe_join(base, ranks, [*by, "_y"]).select(*by, F.explode(F.array(*entries)).alias("_e")).select(*by, "_e.*")
+    by = [*by, "feature_name"]
+    d = F.col("_d")
+    sums = placed.where(F.col("_x").isNotNull()).groupBy(*by, "_x").agg(F.sum(d).alias("_dy"), F.sum(d * d).alias("_dyy"))
+    long = base.select(*by[:-1], F.explode(F.array(*[F.struct(F.lit(f).alias("feature_name"), F.col(c).alias("_x")) for f, c in x.items()])).alias("_e"))
+    places = running_totals(long.select(*by[:-1], "_e.*"), by, "_x", {"_n": F.count(F.lit(1))})
+    dx = centred("_n")
+    tested = null_safe_join(places, sums, [*by, "_x"]).groupBy(*by).agg(
+        ratio(F.sum(dx * F.col("_dy")), F.sqrt(F.sum(F.col("_n") * dx * dx)) * F.sqrt(F.sum("_dyy"))).alias(out)
+    )
+    return tested.select(*keys, "feature_name", out)
 
 
 def kendall(

@@ -2,13 +2,14 @@
 
 A plain ``row_number() over (partition by group order by value)`` sends every
 row of a group to one task. Here rows are first collapsed to distinct values
-with counts (map-side combine). Values then fall into cells by rounding to 20
-significant bits, which keeps their order: a running sum is "sums of earlier
-cells" plus the running sum inside the cell. A group has at most 2^20 cells per
-power of two that its values span. Values in a band narrower than 2^-20 of
-their size share a cell; ``bits=(12, 32)`` cuts those in two levels. Percentiles
-read the cells' counts first and then only the few cells that hold a wanted
-rank. The plan is the same for small and large groups, any number of rows is
+with counts (map-side combine). Values then fall into cells by rounding doubles
+to 16 and other numbers to 20 significant bits, which keeps their order: a
+running sum is "sums of earlier cells" plus the running sum inside the cell. A
+group has at most 2^15 (2^19) cells per power of two that its values span, so
+their number stops growing with the rows. Values in a band narrower than 2^-16
+(2^-20) of their size share a cell; ``bits=(12, 32)`` cuts those in two levels.
+Percentiles read the
+cells' counts first and then only the few cells that hold a wanted rank. The plan is the same for small and large groups, any number of rows is
 cut by the same rule, and nothing is computed while the plan is built.
 """
 
@@ -20,7 +21,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fieldgrain.functions.semantics import hash_text, null_safe_join
 
-#: Significant bits of the cells of a value, from coarse to fine; letters of the prefixes of a text.
+#: Significant bits of the cells of a double and of another number; letters of the prefixes of a text.
+DOUBLE_BITS = (16,)
 VALUE_BITS = (20,)
 TEXT_LETTERS = (2, 8)
 #: Significant bits of the cells that percentiles count before they read values.
@@ -38,7 +40,7 @@ def rounded_bits(value: Column, bits: int) -> Column:
     return F.when(F.abs(value) == float("inf"), value).otherwise(high)
 
 
-def value_cells(df: DataFrame, value: str, bits: Sequence[int] = VALUE_BITS) -> list[Column]:
+def value_cells(df: DataFrame, value: str, bits: Sequence[int] | None = None) -> list[Column]:
     """Cells of a value from coarse to fine, each a function of the next, in the order of the values."""
     kind = df.schema[value].dataType.simpleString()
     v = F.col(value)
@@ -46,7 +48,7 @@ def value_cells(df: DataFrame, value: str, bits: Sequence[int] = VALUE_BITS) ->
         return [F.substring(v, 1, n) for n in TEXT_LETTERS]
     number = F.unix_date(v) if kind == "date" else F.unix_micros(v) if kind == "timestamp" else v
     cells: list[Column] = []
-    for b in sorted(bits, reverse=True):
+    for b in sorted(bits or (DOUBLE_BITS if kind in ("double", "float") else VALUE_BITS), reverse=True):
         cells.insert(0, rounded_bits(cells[0] if cells else number.cast("double"), b))
     return cells
 
@@ -77,7 +79,7 @@ def running_totals(
     sums: Mapping[str, Column] | None = None,
     *,
     descending: bool = False,
-    bits: Sequence[int] = VALUE_BITS,
+    bits: Sequence[int] | None = None,
 ) -> DataFrame:
     """One row per distinct value of a group, with running and total sums in value order.
 
@@ -95,16 +97,19 @@ def running_totals(
     levels = value_cells(atoms, value, bits)
     cells = [f"_cell{i}" for i in range(len(levels))]
     atoms = atoms.select("*", *[c.alias(n) for c, n in zip(levels, cells)])
-    order = F.col(value).desc() if descending else F.col(value).asc()
+    # A cell's sums so far are one more row, which comes first in the cell: atoms are not joined to them.
+    missing = F.lit(None).cast(atoms.schema[value].dataType)
+    heads = sums_before(atoms, by, cells, list(sums), descending=descending).withColumn(value, missing)
+    order = F.col(value).desc_nulls_first() if descending else F.col(value).asc_nulls_first()
     inside = Window.partitionBy(*by, *cells).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = atoms.select("*", *[F.sum(s).over(inside).alias(f"_u_{s}") for s in sums])
-    out = null_safe_join(local, sums_before(atoms, by, cells, list(sums), descending=descending), [*by, *cells]).select(
+    out = atoms.unionByName(heads, allowMissingColumns=True).select(
         *by,
         value,
         *sums,
-        *[(F.col(f"_b_{s}") + F.col(f"_u_{s}")).alias(f"{s}_upto") for s in sums],
-        *[F.col(f"_t_{s}").alias(f"{s}_total") for s in sums],
+        *[F.sum(F.coalesce(F.col(f"_b_{s}"), F.col(s))).over(inside).alias(f"{s}_upto") for s in sums],
+        *[F.first(f"_t_{s}").over(inside).alias(f"{s}_total") for s in sums],
     )
+    out = out.where(F.col(value).isNotNull())
     return out if keys else out.drop("_all")
 
 
@@ -157,26 +162,6 @@ def percentiles(
     return atoms.groupBy(*keys).agg(*aggs).select(*keys, *outs)
 
 
-def average_ranks(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    out: str,
-    *,
-    weight: Column | None = None,
-    size: str | None = None,
-    bits: Sequence[int] = VALUE_BITS,
-) -> DataFrame:
-    """Rank of every distinct value, ties sharing their mean rank: columns keys, value, ``out``.
-
-    ``weight`` is the aggregate that counts rows, when ``df`` is already counted; ``size`` names a column for the group's rows.
-    """
-    sums = {"n": weight if weight is not None else F.count(F.lit(1))}
-    atoms = running_totals(df, keys, value, sums, bits=bits)
-    total = [F.col("n_total").alias(size)] if size else []
-    return atoms.select(*keys, value, (F.col("n_upto") - (F.col("n") - 1) / 2.0).alias(out), *total)
-
-
 def hash_positions(
     df: DataFrame, keys: Sequence[str], item: Sequence[str], seed: int | str, *, digits: Sequence[int] = HASH_DIGITS
 ) -> DataFrame:
@@ -206,7 +191,7 @@ def row_positions(
     *,
     descending: bool = False,
     seed: int | str = 0,
-    bits: Sequence[int] = VALUE_BITS,
+    bits: Sequence[int] | None = None,
 ) -> DataFrame:
     """Position of every row by value, equal values ordered by seeded md5 of ``tie``.
 

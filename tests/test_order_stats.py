@@ -153,3 +153,26 @@ def test_few_groups_are_not_shuffled_by_group(spark):
         assert ranks.first()["spearman"] == pytest.approx(want)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_target_ranks_are_counted_once_for_all_features(spark):
+    """Rows are not copied per feature before their targets are ranked, and a feature's missing rows have no rank."""
+    from fieldgrain.operators import association as ac
+
+    rng = np.random.default_rng(8)
+    data = [("a" if i % 3 else None, float(i % 7) if i % 5 else None, float(rng.integers(0, 9)), float(rng.integers(0, 40))) for i in range(400)]
+    rows = spark.createDataFrame(data, "g string, p double, q double, t double").repartition(5)
+    out = ac.association(rows, ["g"], ["p", "q"], "t", with_kendall=False)
+    pdf = rows.toPandas()
+    for r in out.collect():
+        part = pdf[pdf.g.isna() if r["g"] is None else pdf.g == r["g"]][[r["feature_name"], "t"]].dropna()
+        assert r["spearman_rho"] == pytest.approx(part[r["feature_name"]].rank().corr(part.t.rank()), abs=1e-12)
+        assert r["n_valid"] == len(part)
+    ranks = m.rank_correlations(rows, ["g"], {c: F.col(c) for c in ("p", "q")}, F.col("t"), "r")
+    joins = [line for line in ranks._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line and "_y#" in line]
+    assert len(joins) == 1
+
+
+def test_running_totals_do_not_join_values_to_their_cells(rows):
+    plan = os_.running_totals(rows, ["k"], "v")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
