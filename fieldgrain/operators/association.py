@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldgrain.functions.semantics import null_safe_join, ratio, share
 from fieldgrain.operators.metrics import _join, kendall, rank_correlations, spearman
-from fieldgrain.operators.order_stats import percentiles, row_positions
+from fieldgrain.operators.order_stats import equal_count_bins, percentiles
 from fieldgrain.session import cut_lineage
 
 
@@ -58,24 +58,25 @@ def association(rows: DataFrame, keys: Sequence[str], features: Sequence[str], t
 
 
 def binned_trend(rows: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, bins: int,
-                 mode: str = "equal_count", tie: Sequence[str] = ()) -> DataFrame:
-    """Feature and target statistics in equal-count or equal-width feature bins."""
+                 mode: str = "equal_count", tie: Sequence[str] = (), *, few_groups: bool = False) -> DataFrame:
+    """Feature and target statistics in equal-count or equal-width feature bins.
+
+    ``few_groups``: the caller bounds the number of groups, so that their limits reach the rows without a shuffle by group.
+    """
     by = [*keys, "feature_name"]
     long = long_features(rows.select(*dict.fromkeys([*keys, *features, target, *tie])), [*keys, *tie], features, target)
     if mode == "equal_count":
-        placed = row_positions(long, by, "x", tie or ["y"])
-        used = F.least(F.lit(bins), F.col("group_size"))
-        number = F.ceil(F.col("position") * used / F.col("group_size"))
+        placed = equal_count_bins(long, by, "x", tie or ["y"], bins, "bin_number", few_groups=few_groups)
     elif mode == "equal_width":
         limits = long.groupBy(*by).agg(F.min("x").alias("_lo"), F.max("x").alias("_hi"))
-        placed = null_safe_join(long, limits, by)
+        placed = null_safe_join(long, F.broadcast(limits) if few_groups else limits, by)
         width = F.col("_hi") - F.col("_lo")
         number = F.when(width <= 0, 1).otherwise(
             F.least(F.floor((F.col("x") - F.col("_lo")) / width * bins) + 1, F.lit(bins))
         )
+        placed = placed.withColumn("bin_number", number.cast("int"))
     else:
         raise ValueError("mode must be equal_count or equal_width")
-    placed = placed.withColumn("bin_number", number.cast("int"))
     cell = [*by, "bin_number"]
     base = placed.groupBy(*cell).agg(
         F.count(F.lit(1)).alias("n_bin"),
@@ -87,7 +88,7 @@ def binned_trend(rows: DataFrame, keys: Sequence[str], features: Sequence[str],
         F.min("y").alias("q_min"),
         F.max("y").alias("q_max"),
     )
-    medians = [percentiles(placed, cell, v, {n: 0.5}) for v, n in (("x", "feature_median"), ("y", "q_median"))]
+    medians = [percentiles(placed, cell, v, {n: 0.5}, few_groups=few_groups) for v, n in (("x", "feature_median"), ("y", "q_median"))]
     return _join([base, *medians], cell)
 
 

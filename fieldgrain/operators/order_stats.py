@@ -210,3 +210,40 @@ def row_positions(
         .withColumnRenamed("_total", "group_size")
         .drop("_start", "_within")
     )
+
+
+#: Hexadecimal digits for the rows of a value that a bin's limit divides.
+DIVIDED_DIGITS = (3,)
+
+
+def equal_count_bins(
+    df: DataFrame, keys: Sequence[str], value: str, tie: Sequence[str], bins: int, out: str, *, seed: int | str = 0,
+    few_groups: bool = False,
+) -> DataFrame:
+    """Add the equal-count bin (from 1) that :func:`row_positions` puts a row in; rows with a NULL value are left out.
+
+    A value whose rows all fall into one bin needs no order among them. Only the rows of values that a limit divides, at
+    most one a limit and group, are put in hash order. ``few_groups``: the caller bounds the number of groups, whose
+    limits are then broadcast.
+    """
+    keys = list(keys)
+    atoms = running_totals(df, keys, value)
+    used = F.least(F.lit(bins), F.col("n_total"))
+    number = lambda position: F.ceil(position * used / F.col("n_total"))
+    start = F.col("n_upto") - F.col("n")
+    last = number(F.col("n_upto"))
+    # a value's last rows are in bin b or later exactly if no smaller value begins b: limits are the first such values
+    limits = [F.min(F.when(last >= b, F.col(value))).alias(f"_l{b}") for b in range(1, bins + 1)]
+    divided = [F.max(F.when((number(start + 1) < b) & (last >= b), start)).alias(f"_s{b}") for b in range(2, bins + 1)]
+    facts = atoms.groupBy(*keys).agg(*limits, *divided, F.max("n_total").alias("n_total"))
+    facts = F.broadcast(facts) if few_groups or not keys else facts
+    rows = df.where(F.col(value).isNotNull())
+    rows = null_safe_join(rows, facts, keys) if keys else rows.crossJoin(facts)
+    mine = F.coalesce(*[F.when(F.col(value) == F.col(f"_l{b}"), F.col(f"_s{b}")) for b in range(2, bins + 1)], F.lit(None))
+    rows = rows.withColumn("_start", mine)
+    below = sum((F.when(F.col(f"_l{b}") <= F.col(value), 1).otherwise(0) for b in range(1, bins + 1)), F.lit(0))
+    whole = rows.where(F.col("_start").isNull()).withColumn(out, below)
+    parted = rows.where(F.col("_start").isNotNull()).select(*df.columns, "_start", "n_total")
+    ranked = hash_positions(parted, [*keys, value], tie, seed, digits=DIVIDED_DIGITS)
+    placed = ranked.withColumn(out, number(F.col("_start") + F.col("position")).cast("int"))
+    return whole.select(*df.columns, out).unionByName(placed.select(*df.columns, out))

@@ -62,7 +62,7 @@ def association(spark, sf_dir):
 def binned_trend(spark, sf_dir):
     rows = predictions(spark, sf_dir)
     features = ["campaign_frequency_hz", "campaign_size"]
-    return rounded(ac.binned_trend(rows, ["model_id"], features, "q_pred", 10, tie=["example_id"]))
+    return rounded(ac.binned_trend(rows, ["model_id"], features, "q_pred", 10, tie=["example_id"], few_groups=True))  # few models
 
 
 @query(
@@ -77,7 +77,7 @@ def binned_trend(spark, sf_dir):
 )
 def binned_trend_width(spark, sf_dir):
     rows = predictions(spark, sf_dir)
-    return rounded(ac.binned_trend(rows, ["model_id"], ["cs_pred_m_s"], "q_pred", 8, "equal_width"), 5)
+    return rounded(ac.binned_trend(rows, ["model_id"], ["cs_pred_m_s"], "q_pred", 8, "equal_width", few_groups=True), 5)  # few models
 
 
 @query(

@@ -176,3 +176,15 @@ def test_target_ranks_are_counted_once_for_all_features(spark):
 def test_running_totals_do_not_join_values_to_their_cells(rows):
     plan = os_.running_totals(rows, ["k"], "v")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+@pytest.mark.parametrize("few", [False, True])
+def test_equal_count_bins_are_those_of_positions(rows, few):
+    """Only the rows of values that a limit divides are put in hash order."""
+    used = F.least(F.lit(6), F.col("group_size"))
+    want = os_.row_positions(rows, ["k"], "v", ["id"]).withColumn("b", F.ceil(F.col("position") * used / F.col("group_size")))
+    got = os_.equal_count_bins(rows, ["k"], "v", ["id"], 6, "b", few_groups=few)
+    pairs = lambda df: sorted(map(tuple, df.select("id", "b").collect()))
+    assert pairs(got) == pairs(want)
+    alone = os_.equal_count_bins(rows, [], "v", ["id"], 4, "b", few_groups=few)
+    assert sorted(r["b"] for r in alone.collect()) == [min(4, -(-(i + 1) * 4 // 959)) for i in range(959)]
