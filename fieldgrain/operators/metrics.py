@@ -225,12 +225,13 @@ def hotspots_and_controls(rows: DataFrame, fraction: float) -> DataFrame:
     """
     error = F.col(ABS_ERROR)
     valid = rows.where(F.col("sws_valid") & (F.abs(error) < float("inf")))
-    wanted = F.greatest(F.lit(1), F.ceil(F.lit(fraction) * F.col("group_size")))
-    worst = row_positions(valid, [], ABS_ERROR, ["example_id"], descending=True).where(F.col("position") <= wanted)
-    limits = worst.agg(F.max(wanted).alias("_hot"), F.min(error).alias("_cut"))
-    above = valid.crossJoin(F.broadcast(limits)).agg(F.count_if(error > F.col("_cut")).alias("_above"))
+    # the value that holds the last hotspot, and the rows above it
+    atoms = running_totals(valid.select(ABS_ERROR), [], ABS_ERROR, descending=True)
+    wanted = F.greatest(F.lit(1), F.ceil(F.lit(fraction) * F.col("n_total")))
+    above = F.col("n_upto") - F.col("n")
+    limits = atoms.where((above < wanted) & (wanted <= F.col("n_upto"))).select(wanted.alias("_hot"), error.alias("_cut"), above.alias("_above"))
     median = percentiles(valid, [], ABS_ERROR, {"_median": 0.5})
-    facts = limits.crossJoin(above).crossJoin(median)  # one row each
+    facts = limits.crossJoin(median)  # one row each
     known = valid.crossJoin(F.broadcast(facts))
     tie = F.row_number().over(Window.partitionBy(ABS_ERROR).orderBy("example_id"))
     tied = known.where(error == F.col("_cut")).withColumn("_tie", tie).where(F.col("_tie") <= F.col("_hot") - F.col("_above"))

@@ -188,3 +188,12 @@ def test_equal_count_bins_are_those_of_positions(rows, few):
     assert pairs(got) == pairs(want)
     alone = os_.equal_count_bins(rows, [], "v", ["id"], 4, "b", few_groups=few)
     assert sorted(r["b"] for r in alone.collect()) == [min(4, -(-(i + 1) * 4 // 959)) for i in range(959)]
+
+
+def test_hotspots_are_cut_off_at_a_rank_without_ordering_all_rows(spark):
+    data = [(f"e{i:03d}", float(i % 50), True, i % 3, i % 5) for i in range(300)]
+    placed = spark.createDataFrame(data, f"example_id string, {m.ABS_ERROR} double, sws_valid boolean, cx int, cz int")
+    got = m.hotspots_and_controls(placed, 0.03)
+    assert "md5" not in got._jdf.queryExecution().optimizedPlan().toString()
+    hot = sorted(r["example_id"] for r in got.where("selection_group = 'hotspot'").collect())
+    assert hot == sorted([f"e{i:03d}" for i in range(300) if i % 50 == 49] + ["e048", "e098", "e148"])
