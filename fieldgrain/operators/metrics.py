@@ -125,8 +125,13 @@ def grouping_rows(rows: DataFrame, groupings: Mapping[str, Sequence[str]], width
     return rows.withColumn("_g", F.explode(F.array(*entries))).select("*", "_g.*").drop("_g")
 
 
-def grouped_tables(rows: DataFrame, groupings: Mapping[str, Sequence[str]], extra: Sequence[str] = ()) -> DataFrame:
-    """Sixteen quantile and speed measures for many one- and two-way groupings in one scan of the rows."""
+def grouped_tables(
+    rows: DataFrame, groupings: Mapping[str, Sequence[str]], extra: Sequence[str] = (), *, few_groups: bool = False
+) -> DataFrame:
+    """Sixteen quantile and speed measures for many one- and two-way groupings in one scan of the rows.
+
+    ``few_groups``: the caller bounds the number of groups, so that no copy of a row is shuffled for its percentiles.
+    """
     width = max(len(c) for c in groupings.values())
     keys = ["table_name", *extra, *[f"level_{i + 1}" for i in range(width)]]
     used = sorted({c for columns in groupings.values() for c in columns} | set(extra))
@@ -146,8 +151,9 @@ def grouped_tables(rows: DataFrame, groupings: Mapping[str, Sequence[str]], extr
         F.avg("q_error").alias("q_bias"),
         *[c.alias(n) for n, c in speed_columns().items()],
     )
-    ranks = percentiles(long, keys, ABS_ERROR, {"sws_median_ape": 0.5, "sws_p90_ape": 0.9})
-    return _join([base, percentiles(long, keys, "_aq", {"q_median_ae": 0.5}), ranks], keys)
+    ranks = percentiles(long, keys, ABS_ERROR, {"sws_median_ape": 0.5, "sws_p90_ape": 0.9}, few_groups=few_groups)
+    medians = percentiles(long, keys, "_aq", {"q_median_ae": 0.5}, few_groups=few_groups)
+    return _join([base, medians, ranks], keys)
 
 
 def external_metrics(rows: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -133,7 +133,7 @@ def _sets_sql() -> str:
 
 @query("metrics_sets", "G11", _sets_sql())
 def metrics_sets(spark, sf_dir):
-    return rounded(m.grouped_tables(predictions(spark, sf_dir), GROUPINGS, ["partition"]))
+    return rounded(m.grouped_tables(predictions(spark, sf_dir), GROUPINGS, ["partition"], few_groups=True))  # levels of brands, sizes, ...
 
 
 @query(

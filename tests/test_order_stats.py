@@ -197,3 +197,19 @@ def test_hotspots_are_cut_off_at_a_rank_without_ordering_all_rows(spark):
     assert "md5" not in got._jdf.queryExecution().optimizedPlan().toString()
     hot = sorted(r["example_id"] for r in got.where("selection_group = 'hotspot'").collect())
     assert hot == sorted([f"e{i:03d}" for i in range(300) if i % 50 == 49] + ["e048", "e098", "e148"])
+
+
+def test_copies_of_rows_are_not_shuffled_for_percentiles(spark):
+    data = [(f"p{i % 2}", f"b{i % 3}", i % 4, i / 10, i / 9, 1.0 * i, -1.0 * i, float(i), True) for i in range(90)]
+    frame = spark.createDataFrame(data, f"part string, brand string, size int, q_true double, q_pred double, cs_error_m_s double, cs_error_percent double, {m.ABS_ERROR} double, sws_valid boolean")
+    groupings = {"by_brand": ["brand"], "by_size": ["size"], "both": ["brand", "size"]}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables too large for Spark's size check
+    try:
+        few = m.grouped_tables(frame, groupings, ["part"], few_groups=True)
+        plan = few._jdf.queryExecution().executedPlan().toString()
+        assert not any("SortMergeJoin" in line and "_cell#" in line for line in plan.splitlines())
+        key = lambda df: sorted(map(tuple, df.select("table_name", "part", "level_1", "level_2", "sws_median_ape", "q_median_ae").collect()), key=str)
+        assert key(few) == key(m.grouped_tables(frame, groupings, ["part"]))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
