@@ -40,9 +40,12 @@ EXAMPLES_SQL = """examples AS (
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 
-def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+def examples(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
+    """All examples, or those of the given ``o_orderkey``: these meet the orders before any line does."""
     line = table(spark, sf_dir, "lineitem")
     order = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus", "o_orderdate")
+    if orders is not None:
+        order = order.join(orders, "o_orderkey", "left_semi")
     n = F.col("l_linenumber")
     return line.join(order, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.concat_ws("_", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("example_id"),

@@ -54,7 +54,10 @@ def build_dataset(ledger: DataFrame, folder: str, extract: Callable[[DataFrame],
     settings = extraction_settings(config)
     if before and before["settings"] != settings:
         raise BuildRefused("the dataset was built with other settings")
-    asked = ledger.select(run, source).where(F.col(run).isNotNull()).distinct()
+    some = F.count(source)
+    mixed = ~F.min(source).eqNullSafe(F.max(source)) | ((some > 0) & (some < F.count("*")))
+    # one row per run, so that the ledger is dealt out once, by run, for its faults and for the join
+    asked = ledger.where(F.col(run).isNotNull()).groupBy(run).agg(F.min(source).alias(source), mixed.alias("_double"))
     if before:
         known = spark.read.parquet(*[p["runs"] for p in before["parts"]]).select(run, F.col(source).alias("_known"), F.lit(True).alias("_done"))
         asked = asked.join(known, run, "left")
@@ -62,9 +65,8 @@ def build_dataset(ledger: DataFrame, folder: str, extract: Callable[[DataFrame],
         asked = asked.withColumn("_known", F.lit(None).cast("string")).withColumn("_done", F.lit(None).cast("boolean"))
     part = f"{folder}/parts/{uuid.uuid4().hex}"
     paths = {"runs": f"{part}/runs", "examples": f"{part}/examples"}
-    moved = F.col("_done") & ~F.col("_known").eqNullSafe(F.col(source))
-    faults = asked.groupBy(run).agg(F.count("*").alias("_n"), F.max(moved).alias("_moved"), F.max("_done").alias("_done"))
-    row = faults.agg(F.count_if("_moved").alias("moved"), F.count_if(F.col("_n") > 1).alias("double"), F.count_if(F.col("_done").isNull()).alias("new")).first()
+    moved = F.col("_done") & (F.col("_double") | ~F.col("_known").eqNullSafe(F.col(source)))
+    row = asked.agg(F.count_if(moved).alias("moved"), F.count_if("_double").alias("double"), F.count_if(F.col("_done").isNull()).alias("new")).first()
     if row["double"] or row["moved"]:
         raise BuildRefused(f"{row['double']} runs have several sources, {row['moved']} known runs have another source")
     if not row["new"] and before:
