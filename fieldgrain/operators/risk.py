@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fieldgrain.functions.semantics import ratio
 from fieldgrain.operators.metrics import curve_areas
+from fieldgrain.session import stored
 
 
 def cell_means(rows: DataFrame, cells: Sequence[str], values: Mapping[str, str], *, fold: str = "cv_fold", prior: float = 20.0) -> DataFrame:
@@ -24,9 +25,10 @@ def cell_means(rows: DataFrame, cells: Sequence[str], values: Mapping[str, str],
     """
     n = {out: F.count(c) for out, c in values.items()}
     s = {out: F.sum(c) for out, c in values.items()}
-    taught = rows.where(F.col(fold).isNotNull()).groupBy(*cells, fold).agg(
+    # written once: Spark then knows how small the sums are and does not deal out the rows to meet them
+    taught = stored(rows.where(F.col(fold).isNotNull()).groupBy(*cells, fold).agg(
         *[c.alias(f"_n_{o}") for o, c in n.items()], *[c.alias(f"_s_{o}") for o, c in s.items()]
-    )
+    ))
     names = [f"_{k}_{o}" for o in values for k in ("n", "s")]
     whole = taught.groupBy(*cells).agg(*[F.sum(c).alias(f"{c}_cell") for c in names])
     every = taught.agg(*[F.sum(c).alias(f"{c}_all") for c in names])

@@ -10,7 +10,7 @@ from fieldgrain.operators import coverage as cov, risk as rk, studies as st, til
 from fieldgrain.plans.catalog import query, rounded
 from fieldgrain.plans.coverage import DEFICITS_SQL, GRID, MINIMA, assigned
 from fieldgrain.plans.frames import PREDICTIONS_SQL, predictions, table
-from fieldgrain.session import cut_lineage, ensure_checkpoint_dir
+from fieldgrain.session import ensure_checkpoint_dir, stored
 from fieldgrain.streaming import incremental as inc
 
 PREDICTORS = ["campaign_frequency_hz", "campaign_size"]
@@ -199,10 +199,11 @@ choice AS (SELECT * FROM tried QUALIFY row_number() OVER (PARTITION BY candidate
 
 def _scored_candidates(spark, sf_dir) -> DataFrame:
     # rows get a key once: the table's example ids repeat
-    rows = cut_lineage(_folded(spark, sf_dir).withColumn("row_key", F.monotonically_increasing_id()))
+    used = ["partition", "cv_fold", "speed_band", "frequency_band", "cs_true_m_s", "cs_pred_m_s"]
+    rows = stored(_folded(spark, sf_dir).select(*used, F.monotonically_increasing_id().alias("row_key")))
     speed = F.col("cs_pred_m_s")
     pool = rk.candidate_rows(rows, {"lift": 1.25 * speed, "lower": 0.8 * speed}, "cs_true_m_s", "cs_pred_m_s", harm_margin=0.5)
-    return cut_lineage(rk.cell_means(pool, ["candidate", "speed_band", "frequency_band"], {"expected_gain": "gain", "harm_probability": "harm"}))
+    return stored(rk.cell_means(pool, ["candidate", "speed_band", "frequency_band"], {"expected_gain": "gain", "harm_probability": "harm"}))
 
 
 @query(
