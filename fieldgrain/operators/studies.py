@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fieldgrain.functions.semantics import clip
 from fieldgrain.operators.models import CLIP_RANGE, standardisation, usable
 from fieldgrain.operators.registry import leaking_predictors
-from fieldgrain.session import cut_lineage
+from fieldgrain.session import cut_lineage, stored
 
 
 def _products(columns: Sequence[Column]) -> list[Column]:
@@ -100,7 +100,8 @@ def holdout_study(rows: DataFrame, axes: Mapping[str, Column], predictors: Seque
     target take no part; a null level is a level.
     """
     good = rows.where(usable([*predictors, target]))
-    fits = cut_lineage(holdout_fits(good, axes, predictors, target, penalty))
+    # written, so that Spark knows how small the fits are: rows are not dealt out by their few levels
+    fits = stored(holdout_fits(good, axes, predictors, target, penalty))
     entries = F.array(*[F.struct(F.lit(n).alias("axis"), c.cast("string").alias("level")) for n, c in axes.items()])
     long = good.select(*predictors, F.col(target).alias("_y"), F.explode(entries).alias("e")).select("*", "e.axis", "e.level").drop("e")
     fitted = fits.withColumnsRenamed({"axis": "_axis", "level": "_level"})
