@@ -268,22 +268,6 @@ def positive_probability(rows: DataFrame, model: PipelineModel, out: str) -> Dat
     return scored.select(*rows.columns, clip(F.get(vector_to_array("probability"), F.lit(1)), 0.0, 1.0).alias(out))
 
 
-def composition(rows: DataFrame, train: DataFrame, predictors: Sequence[str], purity: str, *, mixed_below: float = 0.9,
-                strong_below: float = 0.7, trees: int = 60, seed: int = 1) -> DataFrame:
-    """Predicted purity and probabilities of a mixed and a strongly mixed window."""
-    labelled = train.select(
-        "*",
-        (F.col(purity) < mixed_below).cast("double").alias("_mixed"),
-        (F.col(purity) < strong_below).cast("double").alias("_strong"),
-    )
-    regressor = fit(labelled, "bagged_trees", predictors, purity, trees=trees, seed=seed)
-    out = score(rows, regressor, "predicted_purity", (0.0, 1.0))
-    out = positive_probability(out, fit_classifier(labelled, predictors, "_mixed", trees=trees, seed=seed), "p_mixed")
-    return positive_probability(
-        out, fit_classifier(labelled, predictors, "_strong", trees=trees, seed=seed), "p_strong_mixed"
-    )
-
-
 def score_many(rows: DataFrame, models: Mapping[str, object]) -> DataFrame:
     """Long table of several models' predictions."""
     return reduce(

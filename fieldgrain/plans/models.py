@@ -6,12 +6,12 @@ import uuid
 
 from pyspark.sql import Window, functions as F
 
-from fieldgrain.operators import centers as ct, estimate, metrics as m, models as md, splits as sp, theory as th
+from fieldgrain.operators import centers as ct, estimate, forests as fo, metrics as m, models as md, splits as sp, theory as th
 from fieldgrain.operators.registry import SPECTRAL_FEATURES
 from fieldgrain.plans.catalog import query, rounded
 from fieldgrain.plans.coverage import assigned, deficits
 from fieldgrain.plans.frames import PREDICTIONS_SQL, pixels, predictions, samples
-from fieldgrain.session import cut_lineage, ensure_checkpoint_dir
+from fieldgrain.session import cut_lineage, ensure_checkpoint_dir, stored
 from fieldgrain.streaming import incremental as inc
 
 P = PREDICTIONS_SQL
@@ -222,22 +222,26 @@ PREDICTORS = ["campaign_frequency_hz", "campaign_size", "cs_pred_m_s"]
 
 
 def _training(spark, sf_dir):
+    """What the fits read of the predictions, written once."""
+    rows = predictions(spark, sf_dir).select("model_id", "partition", "campaign_run_id", *PREDICTORS, "q_true", "truth_material_purity")
+    return stored(rows)
+
+
+def _folded(rows):
     """Rows with folds; the run is the condition here, so no run is in two folds."""
-    rows = predictions(spark, sf_dir).withColumn("campaign_condition_id", F.col("campaign_run_id")).drop("q_pred")
-    return cut_lineage(sp.grouped_folds(rows, 5, seed=7))
+    return stored(sp.grouped_folds(rows.withColumnRenamed("campaign_run_id", "campaign_condition_id"), 5, seed=7))
 
 
 @query("bagged_trees", "M4 M1 M5")
 def bagged_trees(spark, sf_dir):
     rows = _training(spark, sf_dir)
-    model = md.fit(rows.where("partition = 'train'"), "bagged_trees", PREDICTORS, "q_true", trees=20, depth=8)
-    scored = md.score(rows, model)
-    return rounded(m.quantile_metrics(scored, ["partition"]), 4)
+    scored = fo.forest_quantile(rows.select("partition", *PREDICTORS, "q_true"), rows.where("partition = 'train'"), PREDICTORS, "q_true", trees=20, depth=8)
+    return rounded(m.quantile_metrics(stored(scored.select("partition", "q_true", "q_pred")), ["partition"]), 4)
 
 
 @query("out_of_fold", "M6")
 def out_of_fold(spark, sf_dir):
-    scored, _ = md.out_of_fold(_training(spark, sf_dir), "ridge", PREDICTORS, "q_true", 5, penalty=1.0)
+    scored, _ = md.out_of_fold(_folded(_training(spark, sf_dir)), "ridge", PREDICTORS, "q_true", 5, penalty=1.0)
     return rounded(
         scored.groupBy("partition", "prediction_source").agg(
             F.count(F.lit(1)).alias("row_count"), F.avg(F.abs(F.col("q_pred") - F.col("q_true"))).alias("q_mae")
@@ -254,10 +258,10 @@ def model_families(spark, sf_dir):
         "ridge_full": md.fit(train, "ridge", PREDICTORS, "q_true"),
         "linear": md.fit(train, "linear", PREDICTORS, "q_true", categorical=["model_id"]),
         "quadratic": md.fit(train, "quadratic", PREDICTORS, "q_true"),
-        "boosted": md.fit(train, "boosted_trees", PREDICTORS, "q_true", trees=5),
     }
-    scored = md.score_many(rest.withColumnRenamed("model_id", "source_model").withColumn("model_id", F.col("source_model")), fits)
-    return rounded(m.quantile_metrics(scored, ["model_id", "partition"]), 4)
+    boosted = fo.forest_quantile(rest, train, PREDICTORS, "q_true", kind="boosted_trees", trees=5).withColumn("model_id", F.lit("boosted"))
+    scored = md.score_many(rest, fits).unionByName(boosted).select("model_id", "partition", "q_true", "q_pred")
+    return rounded(m.quantile_metrics(stored(scored), ["model_id", "partition"]), 4)
 
 
 @query("nearest_neighbour_regression", "M10")
@@ -270,7 +274,7 @@ def nearest_neighbour_regression(spark, sf_dir):
 @query("composition", "M8 M22")
 def composition(spark, sf_dir):
     rows = _training(spark, sf_dir).withColumn("purity", F.lit(0.5) + F.col("truth_material_purity") * 5)
-    out = md.composition(rows.where("partition = 'test'"), rows.where("partition = 'train'"), PREDICTORS, "purity", trees=10)
+    out = fo.composition(rows.where("partition = 'test'"), rows.where("partition = 'train'"), PREDICTORS, "purity", trees=10)
     return rounded(
         out.groupBy("model_id").agg(
             F.count(F.lit(1)).alias("N"), *[F.avg(c).alias(c) for c in ("predicted_purity", "p_mixed", "p_strong_mixed")]
