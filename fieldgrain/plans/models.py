@@ -223,13 +223,13 @@ PREDICTORS = ["campaign_frequency_hz", "campaign_size", "cs_pred_m_s"]
 
 def _training(spark, sf_dir):
     """What the fits read of the predictions, written once."""
-    rows = predictions(spark, sf_dir).select("model_id", "partition", "campaign_run_id", *PREDICTORS, "q_true", "truth_material_purity")
-    return stored(rows)
+    return stored(predictions(spark, sf_dir).select("model_id", "partition", *PREDICTORS, "q_true", "truth_material_purity"))
 
 
-def _folded(rows):
+def _folded(spark, sf_dir):
     """Rows with folds; the run is the condition here, so no run is in two folds."""
-    return stored(sp.grouped_folds(rows.withColumnRenamed("campaign_run_id", "campaign_condition_id"), 5, seed=7))
+    rows = predictions(spark, sf_dir).select("partition", F.col("campaign_run_id").alias("campaign_condition_id"), *PREDICTORS, "q_true")
+    return stored(sp.grouped_folds(rows, 5, seed=7))
 
 
 @query("bagged_trees", "M4 M1 M5")
@@ -241,7 +241,7 @@ def bagged_trees(spark, sf_dir):
 
 @query("out_of_fold", "M6")
 def out_of_fold(spark, sf_dir):
-    scored, _ = md.out_of_fold(_folded(_training(spark, sf_dir)), "ridge", PREDICTORS, "q_true", 5, penalty=1.0)
+    scored, _ = md.out_of_fold(_folded(spark, sf_dir), "ridge", PREDICTORS, "q_true", 5, penalty=1.0)
     return rounded(
         scored.groupBy("partition", "prediction_source").agg(
             F.count(F.lit(1)).alias("row_count"), F.avg(F.abs(F.col("q_pred") - F.col("q_true"))).alias("q_mae")
