@@ -82,13 +82,24 @@ def grid_members(pixels: DataFrame, samples: DataFrame, window: int, stride: int
 
 
 def center_members(pixels: DataFrame, centers: DataFrame, window: int) -> DataFrame:
-    """(pixel, window) pairs for explicit centres: each centre lists its pixel positions and meets them by equality."""
+    """(pixel, window) pairs for explicit centres. Positions fall into tiles as wide as a window: each centre lists the
+    four tiles at most that its window touches, meets their pixels by equality and keeps those inside.
+
+    Pixels stream past a hash table of their task's centres. Spark does not see how far listed rows grow, so the size
+    of this side must not decide on a broadcast.
+    """
     half = window // 2
-    wanted = (
-        centers.withColumn("iz", F.explode(F.sequence(F.col("cz") - half, F.col("cz") + half)))
-        .withColumn("ix", F.explode(F.sequence(F.col("cx") - half, F.col("cx") + half)))
-    )
-    return wanted.join(pixels, ["sample_id", "iz", "ix"])
+    width = 2 * half + 1
+
+    def touched(c: str) -> Column:
+        return F.explode(F.sequence(F.floor((F.col(c) - half) / width), F.floor((F.col(c) + half) / width)))
+
+    wanted = centers.withColumn("_tz", touched("cz")).withColumn("_tx", touched("cx"))
+    placed = pixels.withColumn("_tz", F.floor(F.col("iz") / width)).withColumn("_tx", F.floor(F.col("ix") / width))
+    inside = (F.abs(F.col("iz") - F.col("cz")) <= half) & (F.abs(F.col("ix") - F.col("cx")) <= half)
+    met = wanted.hint("shuffle_hash").join(placed, ["sample_id", "_tz", "_tx"]).where(inside)
+    keys = ["sample_id", "iz", "ix"]
+    return met.select(*keys, *[c for c in [*centers.columns, *pixels.columns] if c not in keys])
 
 
 def hann_weight(window: int, gamma: float = 1.0, dx: Column | str = "dx_m", dz: Column | str = "dz_m") -> Column:
