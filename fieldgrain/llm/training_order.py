@@ -9,6 +9,8 @@ Documents are dealt out in ranges of their ids before they are encoded, so a seq
 sequences in earlier ranges and its place in its own: records are shuffled once, to their shards.
 
 Spark's text writer puts the records' bytes as they are. A shard is one task's output, since its size is fixed.
+Records are dealt out in a few passes over ranges of shards, so that of the shuffled records only one pass's stand on
+disk beside the encoded table and the shards.
 
 Defined cases: null and empty texts have no sequences; rows with equal ids are ordered by a hash of the text; an empty
 table gives no shards and an empty result; extra columns are ignored.
@@ -27,12 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fieldgrain.llm.byte_bpe import coder
-from fieldgrain.llm.common import documents, order_key, shuffles_freed, text_of, written
+from fieldgrain.llm.common import BATCH_ROWS, documents, order_key, shuffles_freed, text_of, written
 from fieldgrain.session import ensure_checkpoint_dir
 
 LENGTH = 512
 SHARD_SLOTS = 4096
 ROUNDS = 4
+PASSES = 3
 
 
 def stride(length: int) -> int:
@@ -68,7 +71,7 @@ def sequences(docs: DataFrame, length: int, vocabulary: str) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(vocabulary)
         range_, place = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in (b.slice(i, BATCH_ROWS) for b in batches for i in range(0, b.num_rows, BATCH_ROWS)):
             owner, part, count, record = [], [], [], []
             for i, ids in enumerate(bpe.encode(batch.column("text").to_pylist())):
                 for p in range(0, len(ids), length):
@@ -106,11 +109,15 @@ def materialise(docs: DataFrame, path: str, length: int = LENGTH, shard_slots: i
 
     placed = numbered.withColumn("slot", slot("index")).withColumn("shard", F.expr(f"slot div {shard_slots}"))
     parts = max(1, -(-total // shard_slots))
-    # a range of shards goes to one task, which writes them one after the other; records are padded as they are written
-    dealt = placed.select("shard", "slot", "record").repartitionByRange(min(parts, 100_000), "shard").sortWithinPartitions("shard", "slot")
+    # a shard goes to one task; records are padded as they are written
     line = F.rpad("record", F.lit(2 * length), F.lit(b"\0")).cast("string").alias("value")
-    with shuffles_freed(spark):
-        dealt.select("shard", line).write.partitionBy("shard").option("lineSep", "\n").text(path)
+    for low in range(0, parts, -(-parts // PASSES)):
+        high = min(parts, low + -(-parts // PASSES))
+        tasks = min(high - low, 100_000)
+        part = placed.select("shard", "slot", "record").where(F.col("shard").between(low, high - 1))
+        dealt = part.repartitionById(tasks, F.expr(f"int((shard - {low}) % {tasks})")).sortWithinPartitions("shard", "slot")
+        with shuffles_freed(spark):
+            dealt.select("shard", line).write.mode("append" if low else "error").partitionBy("shard").option("lineSep", "\n").text(path)
     # the digests come from the first pass: records are neither read nor dealt out for the result
     return placed.select("doc_id", "part", "n_tokens", "slot", "shard", (F.expr(f"slot % {shard_slots}") * stride(length)).alias("offset"), F.lower(F.hex("record_sha256")).alias("record_sha256"))
 
