@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldgrain.functions.semantics import null_safe_join, ratio, share
-from fieldgrain.operators.metrics import _join, kendall, rank_correlations, spearman
+from fieldgrain.operators.metrics import _join, kendall, rank_correlations
 from fieldgrain.operators.order_stats import equal_count_bins, percentiles
 from fieldgrain.session import cut_lineage
 
@@ -193,9 +193,10 @@ def feature_audit(rows: DataFrame, features: Sequence[str], target: str, bins: i
         F.count("x").alias("distinct_values"),
         (F.lit(100.0) * ratio(F.sum(F.when(F.col("x").isNull(), F.col("_n")).otherwise(0)), F.sum("_n"))).alias("missing_pct"),
     )
-    long = long_features(rows, [], features, target)
+    doubles = {f: F.col(f).cast("double") for f in features}
+    rho = rank_correlations(rows, [], doubles, F.col(target).cast("double"), "spearman_rho")
     mi = mutual_information(rows, [], features, target, bins).drop("N")
-    return _join([base, spearman(long, ["feature_name"], "x", "y", "spearman_rho"), mi], ["feature_name"])
+    return _join([base, rho, mi], ["feature_name"])
 
 
 def correlation_ranking(rows: DataFrame, features: Sequence[str], target: str) -> DataFrame:

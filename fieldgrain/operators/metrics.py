@@ -303,7 +303,7 @@ def spearman(
     rows: DataFrame, keys: Sequence[str], x: str, y: str, out: str = "spearman"
 ) -> DataFrame:
     """Rank correlation; tied values share their mean rank."""
-    return rank_correlations(rows, keys, {x: F.col(x)}, F.col(y), out).select(*keys, out)
+    return _feature_correlations(rows, keys, {x: F.col(x)}, F.col(y), out).drop("_feature")
 
 
 def rank_correlations(rows: DataFrame, keys: Sequence[str], features: Mapping[str, Column], target: Column, out: str) -> DataFrame:
@@ -312,6 +312,11 @@ def rank_correlations(rows: DataFrame, keys: Sequence[str], features: Mapping[st
     A feature counts the rows that have it and the target. Values of the target are ranked once for all features, by
     one count per feature. Rows then meet the ranks of their target and are summed by value of the feature.
     """
+    return _feature_correlations(rows, keys, features, target, out).select(*keys, F.col("_feature").alias("feature_name"), out)
+
+
+def _feature_correlations(rows: DataFrame, keys: Sequence[str], features: Mapping[str, Column], target: Column, out: str) -> DataFrame:
+    """:func:`rank_correlations` with the feature in ``_feature``, so that a key may be called ``feature_name``."""
     by = list(keys) or ["_all"]
     x = {name: f"_x{i}" for i, name in enumerate(features)}
     base = rows.select(*(keys or [F.lit(0).alias("_all")]), *[c.alias(x[f]) for f, c in features.items()], target.alias("_y"))
@@ -323,18 +328,18 @@ def rank_correlations(rows: DataFrame, keys: Sequence[str], features: Mapping[st
         return F.col(f"{n}_upto") - (F.col(n) - 1) / 2.0 - (F.col(f"{n}_total") + 1) / 2.0
 
     ranks = running_totals(base, by, "_y", counts).select(*by, "_y", *[centred(f"_n{c}").alias(f"_d{c}") for c in x.values()])
-    entries = [F.struct(F.lit(f).alias("feature_name"), F.col(c).alias("_x"), F.col(f"_d{c}").alias("_d")) for f, c in x.items()]
+    entries = [F.struct(F.lit(f).alias("_feature"), F.col(c).alias("_x"), F.col(f"_d{c}").alias("_d")) for f, c in x.items()]
     placed = null_safe_join(base, ranks, [*by, "_y"]).select(*by, F.explode(F.array(*entries)).alias("_e")).select(*by, "_e.*")
-    by = [*by, "feature_name"]
+    by = [*by, "_feature"]
     d = F.col("_d")
     sums = placed.where(F.col("_x").isNotNull()).groupBy(*by, "_x").agg(F.sum(d).alias("_dy"), F.sum(d * d).alias("_dyy"))
-    long = base.select(*by[:-1], F.explode(F.array(*[F.struct(F.lit(f).alias("feature_name"), F.col(c).alias("_x")) for f, c in x.items()])).alias("_e"))
+    long = base.select(*by[:-1], F.explode(F.array(*[F.struct(F.lit(f).alias("_feature"), F.col(c).alias("_x")) for f, c in x.items()])).alias("_e"))
     places = running_totals(long.select(*by[:-1], "_e.*"), by, "_x", {"_n": F.count(F.lit(1))})
     dx = centred("_n")
     tested = null_safe_join(places, sums, [*by, "_x"]).groupBy(*by).agg(
         ratio(F.sum(dx * F.col("_dy")), F.sqrt(F.sum(F.col("_n") * dx * dx)) * F.sqrt(F.sum("_dyy"))).alias(out)
     )
-    return tested.select(*keys, "feature_name", out)
+    return tested.select(*keys, "_feature", out)
 
 
 def kendall(

@@ -1,6 +1,7 @@
 """Distributed order statistics equal the plain definitions, also when every group counts as oversized."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,6 +133,27 @@ def test_empty_groups_give_empty_statistics(rows):
     assert os_.hash_positions(none, [], ["id"], 1).count() == 0
 
 
+def test_a_key_may_be_called_feature_name(spark):
+    """The audit of several features ranks each by itself; the feature's column must not meet a key of its name."""
+    from fieldgrain.operators import association as ac
+
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"a": rng.integers(0, 6, 300).astype(float), "b": rng.normal(size=300).round(1), "t": rng.normal(size=300).round(1)})
+    pdf.loc[pdf.a == 2, "a"] = None
+    pdf.loc[::17, "t"] = None
+    rows = spark.createDataFrame(pdf).replace(float("nan"), None)
+    audit = {r["feature_name"]: r for r in ac.feature_audit(rows, ["a", "b"], "t", 4).collect()}
+    long = ac.long_features(rows, [], ["a", "b"], "t")
+    keyed = {r["feature_name"]: r["rho"] for r in m.spearman(long, ["feature_name"], "x", "y", "rho").collect()}
+    assert set(audit) == set(keyed) == {"a", "b"}
+    for f in audit:
+        both = pdf[[f, "t"]].dropna()
+        want = both[f].rank().corr(both["t"].rank())
+        assert audit[f]["spearman_rho"] == pytest.approx(want, abs=1e-12) and keyed[f] == pytest.approx(want, abs=1e-12)
+        assert audit[f]["distinct_values"] == pdf[f].nunique()
+        assert audit[f]["missing_pct"] == pytest.approx(100 * pdf[f].isna().mean())
+
+
 def test_few_groups_are_not_shuffled_by_group(spark):
     """Joins on the group alone send all rows of a feature to one task."""
     from fieldgrain.operators import association as ac, metrics as m
