@@ -13,7 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from fieldgrain.functions.semantics import ratio
+from fieldgrain.functions.semantics import ratio, steady_sum
 from fieldgrain.operators.metrics import curve_areas
 from fieldgrain.session import stored
 
@@ -108,19 +108,20 @@ def gate_choice(scored: DataFrame, gains: Sequence[float], harms: Sequence[float
     """One row per candidate: the pair of thresholds with the largest total gain whose accepted rows are harmed no more
     often than allowed; ties go to the larger gain threshold, then the smaller harm threshold.
 
-    Training rows are counted by how many thresholds they pass, so the pairs are tried on a small joint table.
+    Training rows are counted by how many thresholds they pass, so the pairs are tried on a small joint table. Pairs that
+    accept the same rows must tie, so gains are summed the same in any order.
     """
     passed_gain = sum((F.col("expected_gain") >= g).cast("int") for g in gains)
     passed_harm = sum((F.col("harm_probability") <= h).cast("int") for h in harms)
     counts = scored.where(F.col("cv_fold").isNotNull()).groupBy("candidate", passed_gain.alias("_g"), passed_harm.alias("_h")).agg(
-        F.count(F.lit(1)).alias("_n"), F.sum("gain").alias("_gain"), F.sum("harm").alias("_harm")
+        F.count(F.lit(1)).alias("_n"), steady_sum("gain").alias("_gain"), F.sum("harm").alias("_harm")
     )
     # thresholds in the order in which a row passes them: gains ascending, harms descending
     pairs = [F.struct(F.lit(i + 1).alias("i"), F.lit(float(g)).alias("min_gain"), F.lit(j + 1).alias("j"), F.lit(float(h)).alias("max_harm"))
              for i, g in enumerate(sorted(gains)) for j, h in enumerate(sorted(harms, reverse=True))]
     tried = counts.withColumn("_p", F.explode(F.array(*pairs))).where((F.col("_g") >= F.col("_p.i")) & (F.col("_h") >= F.col("_p.j")))
     totals = tried.groupBy("candidate", "_p.min_gain", "_p.max_harm").agg(
-        F.sum("_n").alias("accepted"), F.sum("_gain").alias("total_gain"), (100 * F.sum("_harm") / F.sum("_n")).alias("harm_pct")
+        F.sum("_n").alias("accepted"), steady_sum("_gain").alias("total_gain"), (100 * F.sum("_harm") / F.sum("_n")).alias("harm_pct")
     ).where(F.col("harm_pct") <= most_harm_pct)
     best = Window.partitionBy("candidate").orderBy(F.round("total_gain", 6).desc(), F.desc("min_gain"), "max_harm")
     return totals.withColumn("_k", F.row_number().over(best)).where("_k = 1").drop("_k")
