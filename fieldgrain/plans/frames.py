@@ -8,9 +8,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from fieldgrain.functions.semantics import steady_mean
+from fieldgrain.functions.semantics import ratio
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -194,14 +194,20 @@ MAP_SQL = """map AS (
 
 
 def value_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per user and day. Means of doubles differ in their last digit with the order in which they are summed, which
+    decides whether cells that tie with a median lie above it; they are summed in the order of the events, as the SQL reads
+    them. A cell's events are sorted in one task (the sort spills)."""
     events = table(spark, sf_dir, "events").select(
         "user_id",
+        "event_id",
         "value",
         F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).cast("long").alias("day"),
         (F.get_json_object("props", "$.k").cast("long") % 3).alias("material"),
     )
-    cells = events.groupBy("user_id", "day").agg(
-        steady_mean("value").alias("value"), F.max("material").alias("material_id"), F.count(F.lit(1)).alias("weight")
+    order = Window.partitionBy("user_id", "day").orderBy("event_id", "value")
+    upto = F.sum("value").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    cells = events.select("*", upto.alias("_sum"), F.row_number().over(order).alias("_at")).groupBy("user_id", "day").agg(
+        ratio(F.max_by("_sum", "_at"), F.count("value")).alias("value"), F.max("material").alias("material_id"), F.count(F.lit(1)).alias("weight")
     )
     return cells.select(
         (F.floor(F.col("user_id") / 25) * 1000 + F.floor(F.col("day") / 32)).alias("map_id"),
