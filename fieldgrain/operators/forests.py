@@ -92,11 +92,21 @@ def bagged(cells: DataFrame, predictors: Sequence[str], target: str, *, trees: i
         return [PipelineModel([x, m]) for m in pool.map(one, range(trees))]
 
 
-def boosted(cells: DataFrame, predictors: Sequence[str], target: str, *, trees: int, rate: float = 0.05, depth: int = 5, seed: int = 1) -> list[PipelineModel]:
-    """Boosted trees, one model, on all training rows."""
-    x = VectorAssembler(inputCols=[f"_b_{p}" for p in predictors], outputCol="_x")
-    rows = x.transform(cells.withColumn("_w", F.col("_n").cast("double")))
-    fitted = GBTRegressor(maxIter=trees, stepSize=rate, maxDepth=depth, maxBins=BINS, seed=seed, featuresCol="_x", labelCol=target, weightCol="_w", predictionCol="_p0").fit(rows)
+def boosted(cells: DataFrame, predictors: Sequence[str], target: str, *, trees: int = 200, leaf: int = 1, rate: float = 0.05, depth: int = 5,
+            seed: int = 1) -> list[PipelineModel]:
+    """Boosted trees, one model, on all training rows. A leaf holds at least ``leaf`` rows.
+
+    A least-squares tree reads no more of rows that share all bins than their number and mean target, so every round runs on
+    one row per combination of bins.
+    """
+    bins = [f"_b_{p}" for p in predictors]
+    x = VectorAssembler(inputCols=bins, outputCol="_x")
+    weight = F.sum("_n").cast("double")
+    rows = stored(cells.groupBy(*bins).agg(weight.alias("_w"), (F.sum(F.col(target) * F.col("_n")) / weight).alias(target)))
+    total = rows.agg(F.sum("_w")).first()[0] or 1.0
+    share = min((leaf - 0.5) / max(total, 1.0), 0.499)
+    fitted = GBTRegressor(maxIter=trees, stepSize=rate, maxDepth=depth, maxBins=BINS, seed=seed, minWeightFractionPerNode=share, featuresCol="_x",
+                          labelCol=target, weightCol="_w", predictionCol="_p0").fit(x.transform(rows))
     return [PipelineModel([x, fitted])]
 
 
@@ -136,13 +146,17 @@ def composition(rows: DataFrame, train: DataFrame, predictors: Sequence[str], pu
 
 def forest_quantile(rows: DataFrame, train: DataFrame, predictors: Sequence[str], target: str, *, kind: str = "bagged_trees", trees: int = 160,
                     leaf: int = 8, depth: int = 12, seed: int = 1, out: str = "q_pred") -> DataFrame:
-    """The rows with the forest's clipped prediction of the target."""
+    """The rows with the forest's clipped prediction of the target.
+
+    ``trees`` counts the rounds of boosted trees; they have their own depth, ``depth`` is that of bagged trees.
+    """
     limits = bin_limits(train, predictors)
-    cells = cell_counts(train, limits, [target], trees, seed)
+    # boosted trees take all rows and draw none
+    cells = cell_counts(train, limits, [target], trees if kind == "bagged_trees" else 0, seed)
     if kind == "bagged_trees":
         models = bagged(cells, predictors, target, trees=trees, leaf=leaf, depth=depth, seed=seed)
     elif kind == "boosted_trees":
-        models = boosted(cells, predictors, target, trees=trees, seed=seed)
+        models = boosted(cells, predictors, target, trees=trees, leaf=leaf, seed=seed)
     else:
         raise ValueError(f"unknown forest {kind!r}")
     return score_cells(rows, limits, {out: (models, False, CLIP_RANGE)})

@@ -259,7 +259,7 @@ def model_families(spark, sf_dir):
         "linear": md.fit(train, "linear", PREDICTORS, "q_true", categorical=["model_id"]),
         "quadratic": md.fit(train, "quadratic", PREDICTORS, "q_true"),
     }
-    boosted = fo.forest_quantile(rest, train, PREDICTORS, "q_true", kind="boosted_trees", trees=5).withColumn("model_id", F.lit("boosted"))
+    boosted = fo.forest_quantile(rest, train, PREDICTORS, "q_true", kind="boosted_trees", trees=200).withColumn("model_id", F.lit("boosted"))
     scored = md.score_many(rest, fits).unionByName(boosted).select("model_id", "partition", "q_true", "q_pred")
     return rounded(m.quantile_metrics(stored(scored), ["model_id", "partition"]), 4)
 

@@ -47,3 +47,46 @@ def test_missing_and_leaking_predictors(spark):
     assert got.count() == 301
     with pytest.raises(ValueError):
         fo.bin_limits(df.withColumn("truth_q", F.col("a")), ["truth_q"])
+
+
+def test_boosting_on_combinations_of_bins_equals_boosting_on_rows(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    df = rows_of(spark).withColumn("y", F.col("y") + F.sin(F.col("b") / 9) / 5)
+    limits = fo.bin_limits(df, ["a", "b"])
+    cells = fo.cell_counts(df, limits, ["y"], 0)
+    (model,) = fo.boosted(cells, ["a", "b"], "y", trees=12)
+    placed = fo.binned(df, limits).coalesce(1)
+    x = VectorAssembler(inputCols=["_b_a", "_b_b"], outputCol="_x")
+    plain = GBTRegressor(maxIter=12, stepSize=0.05, maxDepth=5, maxBins=32, seed=1, featuresCol="_x", labelCol="y", predictionCol="p").fit(x.transform(placed))
+    assert model.stages[-1].getNumTrees == plain.getNumTrees == 12
+    both = plain.transform(model.transform(placed)).select("_p0", "p").toPandas()
+    assert np.abs(both["_p0"] - both["p"]).max() < 1e-9 and both["p"].nunique() > 20
+
+
+def test_leaves_of_boosted_trees_hold_enough_rows(spark):
+    df = rows_of(spark, 200)
+    cells = fo.cell_counts(df, fo.bin_limits(df, ["a", "b"]), ["y"], 0)
+    (model,) = fo.boosted(cells, ["a", "b"], "y", trees=1, leaf=30)
+    leaves = model.transform(cells).groupBy("_p0").agg(F.sum("_n").alias("n")).collect()
+    assert len(leaves) > 1 and min(r["n"] for r in leaves) >= 30
+
+
+def test_the_compared_boosting_has_all_its_rounds(spark, sf_dir, monkeypatch):
+    """200 rounds, as in the reference's train_q_model_from_predictors.m."""
+    from fieldgrain.plans import load_queries
+
+    asked = []
+
+    class Stop(Exception):
+        pass
+
+    def boosted(*args, **options):
+        asked.append(options)
+        raise Stop
+
+    monkeypatch.setattr(fo, "boosted", boosted)
+    with pytest.raises(Stop):
+        load_queries()["model_families"].build(spark, sf_dir)
+    assert asked[0]["trees"] == 200 and asked[0]["leaf"] == 8
